@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontam, host_rules, lines, mixing, secrets, url_filter
+from . import cotrain, decontam, host_rules, lines, minhash, mixing, secrets, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_host_rules": host_rules.op2_host_rules,
+    "op3_near_duplicates": minhash.op3_near_duplicates,
     "op4_redirect_filter": url_filter.op4_redirect_filter,
     "op5_secrets": secrets.op5_secrets,
     "op6_decontaminate": decontam.op6_decontaminate,
     "op8_mix": mixing.op8_mix,
     "op9_line_dedup": lines.op9_line_dedup,
+    "op10_cotrained_quality": cotrain.op10_cotrained_quality,
 }
 ORACLE_SQL = {
     "op2_host_rules": host_rules.OP2_SQL,
