@@ -23,8 +23,20 @@ def word_features(word: bytes) -> list[int]:
     return out + [xxhash.xxh3_64_intdigest(b"p" + word[:n]) for n in (4, 6) if len(word) > n]
 
 
+def twice(text_words: list[bytes]) -> set[bytes]:
+    """The words that occur again."""
+    seen: set[bytes] = set()
+    return {w for w in text_words if w in seen or seen.add(w)}
+
+
+def again(word: bytes) -> int:
+    """The feature of a word that a text repeats."""
+    return xxhash.xxh3_64_intdigest(b"2" + word)
+
+
 def text_features(text: bytes | None) -> np.ndarray:
-    return np.array(sorted({f for w in set(item_words(text)) for f in word_features(w)}), np.uint64)
+    own = item_words(text)
+    return np.array(sorted({f for w in set(own) for f in word_features(w)} | {again(w) for w in twice(own)}), np.uint64)
 
 
 @dataclass
@@ -107,20 +119,24 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000) -> Severi
 
 
 class _Scorer(dict):
-    """By word, those of its features that have a weight."""
+    """By word, those of its features that have a weight, and that of its repetition, if it has one."""
 
     def __init__(self, model: Severity):
         super().__init__()
         self.model = model
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> tuple[tuple[int, ...], int | None]:
         if len(self) >= 1_000_000:
             self.clear()
-        value = self[word] = tuple(f for f in word_features(word) if f in self.model.weights)
+        own, more = tuple(f for f in word_features(word) if f in self.model.weights), again(word)
+        value = self[word] = (own, more) if more in self.model.weights else (own, None)
         return value
 
     def severity(self, text: bytes | None) -> float:
-        found = {f for fs in filter(None, map(self.__getitem__, set(item_words(text)))) for f in fs}
+        own = item_words(text)
+        known = {w: x for w in set(own) if (x := self[w]) != ((), None)}
+        found = {f for fs, _ in known.values() for f in fs}
+        found |= {known[w][1] for w in twice([w for w in own if w in known])} - {None}
         return self.model.severity(sum(self.model.weights[f] for f in sorted(found)))
 
 
