@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cotrain, decontam, host_rules, lines, minhash, mixing, secrets, toxicity, url_filter
+from . import cotrain, decontam, host_rules, katz, lines, minhash, mixing, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_redirect_filter": url_filter.op4_redirect_filter,
     "op5_secrets": secrets.op5_secrets,
     "op6_decontaminate": decontam.op6_decontaminate,
+    "op7_katz_scores": katz.op7_katz_scores,
     "op8_mix": mixing.op8_mix,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_cotrained_quality": cotrain.op10_cotrained_quality,
