@@ -27,7 +27,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, _ODD, cut, mixed, raw, table, words
+from .common import WordHash, _ODD, cut, mixed, raw, release, table, words
 
 #: No word holds white space.
 END, START = np.uint64(xxhash.xxh3_64_intdigest(b"\n")), np.uint64(xxhash.xxh3_64_intdigest(b"\n\n"))
@@ -316,7 +316,7 @@ def _assembled(star: np.ndarray, size: float, starts: int, id_type: pa.DataType)
     return run
 
 
-def katz_scores(docs: DataFrame, chunk_chars: int = 12_000_000, bucket_chars: int = 30_000_000) -> DataFrame:
+def katz_scores(docs: DataFrame, chunk_chars: int = 6_000_000, bucket_chars: int = 16_000_000) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents with crc32(doc_id) mod 7 = 2 are held out, the others train. Tokens: lower-cased words and one end. n_known:
@@ -339,8 +339,10 @@ def katz_scores(docs: DataFrame, chunk_chars: int = 12_000_000, bucket_chars: in
     hot_pairs = sorted(((np.int64(r["key"]).view(np.uint64), r["h"], np.int64(r["w"]).view(np.uint64), r["n"]) for r in pairs.where((F.col("n") * HOT_SHARE >= tokens) & (F.col("n") > TURING + 1)).collect()), key=lambda x: x[0])
     hot = Hot(hot_words, np.array([x[1] for x in top], np.int64), np.array([x[0] for x in hot_pairs], np.uint64), np.array([x[3] for x in hot_pairs], np.int64), max(1, -(-size // bucket_chars)))
     shared = spark.sparkContext.broadcast(hot)
+    release(spark)
 
     found = cut(docs.mapInArrow(_deal(shared, chunk_chars), _ROW).groupBy("bucket").applyInArrow(_meet(shared), _FOUND))
+    release(spark)  # the corpus has been exchanged for what is known of it
     seen = found.where("seen is not null").agg(*[F.sum(F.col("seen")[k]).alias(f"n{k}") for k in range(TURING + 1)]).first()
     star, slots = discounted([x or 0 for x in seen]), float(tokens + vocabulary + 1)
     parts = found.where(F.col("kind") == _CONTEXT).select("payload").mapInArrow(_contexts(star), "h long, mass long, left_over double")
