@@ -27,7 +27,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, _ODD, cut, mixed, raw, release, table, words
+from .common import WordHash, _ODD, mixed, raw, release, table, words, written
 
 #: No word holds white space.
 END, START = np.uint64(xxhash.xxh3_64_intdigest(b"\n")), np.uint64(xxhash.xxh3_64_intdigest(b"\n\n"))
@@ -222,7 +222,7 @@ def _by_bucket(key, h, w, doc, learn, hot: Hot, chunk: int) -> list[tuple[int, i
             at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             w_names, w_runs = np.unique(w[own], return_counts=True)
             h_names, h_at = np.unique(h[own], return_inverse=True)
-            out.append((k, _PARTIAL, chunk, pickle.dumps((w_names, _small(w_runs), h_names, _small(h_at), _small(trained[own]), _small(n), _small(doc[at]), _small(times[at])), 5)))
+            out.append((k, _PARTIAL, chunk, _packed(w_names, _small(w_runs), h_names, _small(h_at), _small(trained[own]), _small(n), _small(doc[at]), _small(times[at]))))
     return out
 
 
@@ -241,7 +241,7 @@ def _meet(hot):
                 out.append((_TABLE, chunk, blob, None))
             else:
                 chunks.append(chunk)
-                parts.append(pickle.loads(blob))  # written by _by_bucket
+                parts.append(_unpacked(blob))
         if parts:
             w = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
             h = np.concatenate([p[2][p[3]] for p in parts])
@@ -316,7 +316,7 @@ def _assembled(star: np.ndarray, size: float, starts: int, id_type: pa.DataType)
     return run
 
 
-def katz_scores(docs: DataFrame, chunk_chars: int = 6_000_000, bucket_chars: int = 16_000_000) -> DataFrame:
+def katz_scores(docs: DataFrame, chunk_chars: int = 5_000_000, bucket_chars: int = 12_000_000) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents with crc32(doc_id) mod 7 = 2 are held out, the others train. Tokens: lower-cased words and one end. n_known:
@@ -341,9 +341,9 @@ def katz_scores(docs: DataFrame, chunk_chars: int = 6_000_000, bucket_chars: int
     shared = spark.sparkContext.broadcast(hot)
     release(spark)
 
-    found = cut(docs.mapInArrow(_deal(shared, chunk_chars), _ROW).groupBy("bucket").applyInArrow(_meet(shared), _FOUND))
-    release(spark)  # the corpus has been exchanged for what is known of it
+    found = written(docs.mapInArrow(_deal(shared, chunk_chars), _ROW).groupBy("bucket").applyInArrow(_meet(shared), _FOUND))
     seen = found.where("seen is not null").agg(*[F.sum(F.col("seen")[k]).alias(f"n{k}") for k in range(TURING + 1)]).first()
+    release(spark)  # the exchanged corpus is not needed any more
     star, slots = discounted([x or 0 for x in seen]), float(tokens + vocabulary + 1)
     parts = found.where(F.col("kind") == _CONTEXT).select("payload").mapInArrow(_contexts(star), "h long, mass long, left_over double")
     count_of = dict(top)
