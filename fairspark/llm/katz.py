@@ -7,9 +7,9 @@ alpha(h) = (1 - sum of p(w | h) over seen w) / (1 - sum of p(w) over seen w) mak
 
 One exchange carries the corpus. Chunks of documents are packed by bucket of the word: a bucket then knows c(w), all pairs
 (h, w) and where they occur, and gives for each document sums that are linear in what is known only afterwards (the
-discounts; alpha, by context), for each context the parts of alpha, and the unseen pairs. Words and pairs with a
-ten-thousandth of the tokens or more, ten thousand at most, are known to all executors: hot words are spread over buckets
-by pair, hot pairs are scored where they are read, so that no key fills a bucket.
+discounts; alpha, by context), for each context the parts of alpha, and the unseen pairs. Words with a ten-thousandth of
+the tokens and pairs of such words with a two hundred thousandth or more, so many at most, are known to all executors: hot
+words are spread over buckets by pair, hot pairs are scored where they are read, so that no key fills a bucket.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ from .common import WordHash, _ODD, mixed, raw, release, table, words, written
 #: No word holds white space.
 END, START = np.uint64(xxhash.xxh3_64_intdigest(b"\n")), np.uint64(xxhash.xxh3_64_intdigest(b"\n\n"))
 TURING = 5
-HOT_SHARE = 10_000
+#: A hot word has at least one in so many tokens, a hot pair one in so many; there are never more than that.
+HOT_WORDS, HOT_PAIRS = 10_000, 200_000
 _CONTEXT, _PARTIAL, _TABLE, _UNSEEN = 2, 0, 1, 3
 
 
@@ -86,6 +87,15 @@ def _unpacked(blob: bytes) -> tuple:
     return pickle.loads(zstandard.decompress(blob))  # only what _packed has written
 
 
+def _planes(names: np.ndarray) -> np.ndarray:
+    """Sorted names as steps, byte by byte: the high bytes of steps are mostly zero and compress."""
+    return np.diff(names, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy()
+
+
+def _from_planes(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(planes.T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
@@ -222,7 +232,7 @@ def _by_bucket(key, h, w, doc, learn, hot: Hot, chunk: int) -> list[tuple[int, i
             at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             w_names, w_runs = np.unique(w[own], return_counts=True)
             h_names, h_at = np.unique(h[own], return_inverse=True)
-            out.append((k, _PARTIAL, chunk, _packed(w_names, _small(w_runs), h_names, _small(h_at), _small(trained[own]), _small(n), _small(doc[at]), _small(times[at]))))
+            out.append((k, _PARTIAL, chunk, _packed(_planes(w_names), _small(w_runs), _planes(h_names), _small(h_at), _small(trained[own]), _small(n), _small(doc[at]), _small(times[at]))))
     return out
 
 
@@ -241,7 +251,8 @@ def _meet(hot):
                 out.append((_TABLE, chunk, blob, None))
             else:
                 chunks.append(chunk)
-                parts.append(_unpacked(blob))
+                w_names, w_runs, h_names, *rest = _unpacked(blob)
+                parts.append((_from_planes(w_names), w_runs, _from_planes(h_names), *rest))
         if parts:
             w = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
             h = np.concatenate([p[2][p[3]] for p in parts])
@@ -332,11 +343,11 @@ def katz_scores(docs: DataFrame, chunk_chars: int = 5_000_000, bucket_chars: int
     unigrams = docs.mapInArrow(_counts(chunk_chars), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
     total = unigrams.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("key") == int(END.view(np.int64)), F.col("n"))).alias("docs")).first()
     tokens, vocabulary, starts = total["n"] or 0, total["v"], total["docs"] or 0
-    top = sorted((np.int64(r["key"]).view(np.uint64), r["n"]) for r in unigrams.where(F.col("n") * HOT_SHARE >= tokens).collect())  # HOT_SHARE at most
+    top = sorted((np.int64(r["key"]).view(np.uint64), r["n"]) for r in unigrams.where(F.col("n") * HOT_WORDS >= tokens).collect())  # HOT_WORDS at most
     unigrams.unpersist()
     hot_words = np.array([x[0] for x in top], np.uint64)
     pairs = docs.mapInArrow(_counts(chunk_chars, hot_words), "key long, h long, w long, n long").groupBy("key", "h", "w").agg(F.sum("n").alias("n"))
-    hot_pairs = sorted(((np.int64(r["key"]).view(np.uint64), r["h"], np.int64(r["w"]).view(np.uint64), r["n"]) for r in pairs.where((F.col("n") * HOT_SHARE >= tokens) & (F.col("n") > TURING + 1)).collect()), key=lambda x: x[0])
+    hot_pairs = sorted(((np.int64(r["key"]).view(np.uint64), r["h"], np.int64(r["w"]).view(np.uint64), r["n"]) for r in pairs.where((F.col("n") * HOT_PAIRS >= tokens) & (F.col("n") > TURING + 1)).collect()), key=lambda x: x[0])
     hot = Hot(hot_words, np.array([x[1] for x in top], np.int64), np.array([x[0] for x in hot_pairs], np.uint64), np.array([x[3] for x in hot_pairs], np.int64), max(1, -(-size // bucket_chars)))
     shared = spark.sparkContext.broadcast(hot)
     release(spark)
