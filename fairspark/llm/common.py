@@ -71,7 +71,7 @@ def signed(values: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """64-bit hashes of words; forgets all when it grows over a bound."""
 
-    MOST = 200_000
+    MOST = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

@@ -7,9 +7,10 @@ alpha(h) = (1 - sum of p(w | h) over seen w) / (1 - sum of p(w) over seen w) mak
 
 One exchange carries the corpus. Chunks of documents are packed by bucket of the word: a bucket then knows c(w), all pairs
 (h, w) and where they occur, and gives for each document sums that are linear in what is known only afterwards (the
-discounts; alpha, by context), for each context the parts of alpha, and the unseen pairs. Words with a ten-thousandth of
-the tokens and pairs of such words with a two hundred thousandth or more, so many at most, are known to all executors: hot
-words are spread over buckets by pair, hot pairs are scored where they are read, so that no key fills a bucket.
+discounts; alpha, by context), for each context the parts of alpha, and the unseen pairs. Words with a fifty
+thousandth of the tokens and pairs of frequent words with a two hundred thousandth or more, so many at most, are known to
+all executors: hot words are spread over buckets by pair and sent by number, hot pairs are scored where they are read, so
+that no key fills a bucket.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from .common import WordHash, _ODD, mixed, raw, release, table, words, written
 END, START = np.uint64(xxhash.xxh3_64_intdigest(b"\n")), np.uint64(xxhash.xxh3_64_intdigest(b"\n\n"))
 TURING = 5
 #: A hot word has at least one in so many tokens, a hot pair one in so many; there are never more than that.
-HOT_WORDS, HOT_PAIRS = 10_000, 200_000
+HOT_WORDS, HOT_PAIRS = 50_000, 200_000
+#: Hot pairs are sought among words with at least one in so many tokens.
+PAIRED_WORDS = 10_000
 _CONTEXT, _PARTIAL, _TABLE, _UNSEEN = 2, 0, 1, 3
 
 
@@ -96,6 +99,18 @@ def _from_planes(planes: np.ndarray) -> np.ndarray:
     return np.cumsum(planes.T.copy().view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _named(names: np.ndarray, hot: np.ndarray) -> tuple:
+    """Sorted names, those of hot words by their numbers."""
+    is_hot, at = Hot.find(hot, names)
+    return np.packbits(is_hot), len(names), _small(np.diff(at[is_hot], prepend=0)), _planes(names[~is_hot])
+
+
+def _from_named(bits: np.ndarray, n: int, steps: np.ndarray, planes: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    is_hot, out = np.unpackbits(bits)[:n].astype(bool), np.empty(n, np.uint64)
+    out[is_hot], out[~is_hot] = hot[np.cumsum(steps, dtype=np.int64)], _from_planes(planes)
+    return out
+
+
 def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
@@ -116,13 +131,15 @@ def _chunks(b: pa.RecordBatch, chunk_chars: int) -> Iterator[tuple[list, list]]:
     """(doc_ids, texts) of about chunk_chars bytes and at most 60,000 rows."""
     ids, texts = [], []
     size = 0
-    for i, t in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), raw(b, "text"), strict=True):
-        ids.append(i)
-        texts.append(t)
-        size += len(t or b"")
-        if size >= chunk_chars or len(ids) == 60_000:
-            yield ids, texts
-            ids, texts, size = [], [], 0
+    for at in range(0, b.num_rows, 200):  # few texts at once stand beside the batch
+        some = b.slice(at, 200)
+        for i, t in zip(some.column(some.schema.get_field_index("doc_id")).to_pylist(), raw(some, "text"), strict=True):
+            ids.append(i)
+            texts.append(t)
+            size += len(t or b"")
+            if size >= chunk_chars or len(ids) == 60_000:
+                yield ids, texts
+                ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 
@@ -189,6 +206,7 @@ def _deal(hot, chunk_chars: int):
                 number += 1
                 out: list[tuple[int, int, int, bytes]] = []
                 h, w, doc = _tokens(texts, names)
+                del texts
                 learn = np.array([not held_out(i) for i in ids])
                 sums = _Sums(len(ids))
                 key = pair_key(h, w)
@@ -198,7 +216,8 @@ def _deal(hot, chunk_chars: int):
                     sums.add(doc[is_hot], np.ones(int(is_hot.sum())), w[is_hot], np.where(of_word, shared.word_counts[w_at], 0), shared.pair_counts[at[is_hot]])
                 n_tokens = np.bincount(doc, minlength=len(ids))
                 out.append((chunk % shared.buckets, _TABLE, chunk, _packed(ids, ~learn, n_tokens, sums.packed())))
-                out += _by_bucket(key[~is_hot], h[~is_hot], w[~is_hot], doc[~is_hot], learn, shared, chunk)
+                key, h, w, doc = (x[~is_hot] for x in (key, h, w, doc))
+                out += _by_bucket(key, h, w, doc, learn, shared, chunk)
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=["bucket", "kind", "chunk", "payload"])
 
@@ -209,7 +228,7 @@ def _by_bucket(key, h, w, doc, learn, hot: Hot, chunk: int) -> list[tuple[int, i
     if not len(key):
         return []
     order = np.argsort(key, kind="stable")
-    key, doc = key[order], doc[order]
+    key, doc = key[order], doc[order].astype(np.int32)
     new_pair = np.concatenate([[True], key[1:] != key[:-1]])
     new = np.nonzero(new_pair | np.concatenate([[True], doc[1:] != doc[:-1]]))[0]  # of each pair, a run for each document
     times = np.diff(np.append(new, len(key)))
@@ -232,7 +251,7 @@ def _by_bucket(key, h, w, doc, learn, hot: Hot, chunk: int) -> list[tuple[int, i
             at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             w_names, w_runs = np.unique(w[own], return_counts=True)
             h_names, h_at = np.unique(h[own], return_inverse=True)
-            out.append((k, _PARTIAL, chunk, _packed(_planes(w_names), _small(w_runs), _planes(h_names), _small(h_at), _small(trained[own]), _small(n), _small(doc[at]), _small(times[at]))))
+            out.append((k, _PARTIAL, chunk, _packed(_named(w_names, hot.words), _small(w_runs), _named(h_names, hot.words), _small(h_at), _small(trained[own]), _small(n), _small(doc[at]), _small(times[at]))))
     return out
 
 
@@ -252,7 +271,7 @@ def _meet(hot):
             else:
                 chunks.append(chunk)
                 w_names, w_runs, h_names, *rest = _unpacked(blob)
-                parts.append((_from_planes(w_names), w_runs, _from_planes(h_names), *rest))
+                parts.append((_from_named(*w_names, shared.words), w_runs, _from_named(*h_names, shared.words), *rest))
         if parts:
             w = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
             h = np.concatenate([p[2][p[3]] for p in parts])
@@ -327,7 +346,7 @@ def _assembled(star: np.ndarray, size: float, starts: int, id_type: pa.DataType)
     return run
 
 
-def katz_scores(docs: DataFrame, chunk_chars: int = 5_000_000, bucket_chars: int = 12_000_000) -> DataFrame:
+def katz_scores(docs: DataFrame, chunk_chars: int = 3_500_000, bucket_chars: int = 10_000_000) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents with crc32(doc_id) mod 7 = 2 are held out, the others train. Tokens: lower-cased words and one end. n_known:
@@ -346,7 +365,8 @@ def katz_scores(docs: DataFrame, chunk_chars: int = 5_000_000, bucket_chars: int
     top = sorted((np.int64(r["key"]).view(np.uint64), r["n"]) for r in unigrams.where(F.col("n") * HOT_WORDS >= tokens).collect())  # HOT_WORDS at most
     unigrams.unpersist()
     hot_words = np.array([x[0] for x in top], np.uint64)
-    pairs = docs.mapInArrow(_counts(chunk_chars, hot_words), "key long, h long, w long, n long").groupBy("key", "h", "w").agg(F.sum("n").alias("n"))
+    paired = np.array([x[0] for x in top if x[1] * PAIRED_WORDS >= tokens], np.uint64)
+    pairs = docs.mapInArrow(_counts(chunk_chars, paired), "key long, h long, w long, n long").groupBy("key", "h", "w").agg(F.sum("n").alias("n"))
     hot_pairs = sorted(((np.int64(r["key"]).view(np.uint64), r["h"], np.int64(r["w"]).view(np.uint64), r["n"]) for r in pairs.where((F.col("n") * HOT_PAIRS >= tokens) & (F.col("n") > TURING + 1)).collect()), key=lambda x: x[0])
     hot = Hot(hot_words, np.array([x[1] for x in top], np.int64), np.array([x[0] for x in hot_pairs], np.uint64), np.array([x[3] for x in hot_pairs], np.int64), max(1, -(-size // bucket_chars)))
     shared = spark.sparkContext.broadcast(hot)
