@@ -7,14 +7,23 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions import exact as E
 from ..model import SLICES, Anchors, Center, Settings
+from . import rounds as R
 from .rounds import column, lists, matrix
 
 
+#: Rows of a client that one task scans when a draw is located; masses and divisors of these blocks reach the driver.
+BLOCK = 65_536
+#: Slices of more rows are seeded by distributed draws.
+SLICE_ROWS = 5_000_000
+
+
 def _ordered(group: pa.Table) -> pa.RecordBatch:
     return group.sort_by("local_row").combine_chunks().to_batches()[0]
 
@@ -27,10 +36,11 @@ def _chosen(x: np.ndarray, weights, k: int, words, scale: float) -> tuple[list[i
     return at, reps, E.nearest(x / scale, reps)[0]
 
 
-def local_slices(points: DataFrame, seed: int, settings: Settings) -> DataFrame:
+def local_slices(points: DataFrame, seed: int, settings: Settings, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Representatives of each (client, group_id) of encoded points, in the order of local_row, by the slice's own tape.
 
-    Slices are the unit of the draw, so one task reads one slice; within it all is vectorised.
+    Slices are the unit of the draw. One task reads a slice of up to slice_rows rows, vectorised; larger ones, few by
+    definition, are seeded one after another by distributed draws, with the same result.
     """
     k, gamma, scale = settings.k, settings.gamma, float(settings.grid.scale)
 
@@ -43,7 +53,15 @@ def local_slices(points: DataFrame, seed: int, settings: Settings) -> DataFrame:
         arrays = [full(client, pa.int64()), full(g, pa.int32()), pa.array(range(own), pa.int32()), pa.array(at, pa.int64()), lists(reps), lists(E.snapped(reps, gamma)), pa.array(np.bincount(label, minlength=own), pa.int64()), full(own, pa.int32()), full(len(x), pa.int64())]
         return pa.table(arrays, names=["client", "group_id", "slot", "selected_idx", "rep", "anchor", "mult", "k_e", "n_e"])
 
-    return points.select("client", "local_row", "group_id", "x").groupBy("client", "group_id").applyInArrow(run, SLICES)
+    points = points.select("client", "local_row", "group_id", "x")
+    large = points.groupBy("client", "group_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(slice_rows, k)).collect()
+    small = points
+    for r in large:
+        small = small.where((F.col("client") != r["client"]) | (F.col("group_id") != r["group_id"]))
+    out = small.groupBy("client", "group_id").applyInArrow(run, SLICES)
+    for r in large:
+        out = out.unionByName(_large_slice(points, r["client"], r["group_id"], r["n"], seed, settings))
+    return out
 
 
 def anchors_of(slices: DataFrame, sizes) -> Anchors:
@@ -99,48 +117,63 @@ def merged_centers(slices: DataFrame, sizes, seed: int, k: int) -> list[Center]:
     return server_centers(anchors, seed, k, "merged_server")
 
 
-def pooled_centers(points: DataFrame, sizes, seed: int, k: int, scale: float) -> list[Center]:
-    """Weighted D-squared sampling over all encoded points in the order of client and local_row, weights one over the group's size.
+def distributed_choice(points: DataFrame, weight: Column, k: int, words) -> list[tuple[int, int, list[int]]]:
+    """(client, local_row, x) of k encoded points by weighted D-squared sampling in the order of client and local_row.
 
-    Every draw is two small aggregates: the mass and common divisor of each (client) block, then the running sum inside the
-    one block that the draw falls into, in ranges. Rows stay where they are; the driver sees one number for each client.
+    weight: a whole number, DECIMAL(38, 0). There are more than k rows. Each draw is two small jobs: masses and common divisors
+    of blocks of rows, then the running sum inside the one block that the draw falls into. Rows stay where they are.
     """
-    n = sum(sizes)
-    if k >= n:
-        rows = points.orderBy("client", "local_row").select("x").collect()  # k rows at most
-        return [tuple(v / scale for v in rows[i]["x"]) for i in E.completed(range(n), n, k)]
-    weight = E.as_integers([Fraction(1, s) for s in sizes])
-    chosen: list[tuple[list[int], int, int]] = []
-    own_weight = F.element_at(F.array(*[F.lit(str(w)).cast("decimal(38,0)") for w in weight]), F.col("group_id") + 1)
-    words = E.tape(seed, "centralized")
+    chosen: list[tuple[int, int, list[int]]] = []
+    block = F.floor(F.col("local_row") / BLOCK).alias("block")
     while len(chosen) < k:
-        near = F.lit(1).cast("decimal(38,0)")
+        near = F.lit(1).cast("decimal(20,0)")
         if chosen:
-            gaps = [F.aggregate(F.zip_with("x", F.array(*[F.lit(v).cast("long") for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0).cast("long"), lambda s, v: s + v) for c, _, _ in chosen]
+            gaps = [C.squared_distance(F.col("x"), F.array(*[F.lit(v).cast("long") for v in c])) for _, _, c in chosen]
             near = (F.least(*gaps) if len(gaps) > 1 else gaps[0]).cast("decimal(20,0)")
-        massed = points.select("client", "local_row", "x", (near * own_weight).cast("decimal(38,0)").alias("mass"))
-        blocks = massed.where("mass > 0").groupBy("client").agg(F.sum("mass").alias("mass"), F.collect_set("mass").alias("values")).select("client", "mass", F.aggregate("values", F.lit(0).cast("decimal(38,0)"), _gcd_step).alias("divisor"))
-        blocks = sorted(blocks.collect(), key=lambda r: r["client"])
-        if not blocks:
+        massed = points.select("client", block, "local_row", "x", (near * weight).cast("decimal(38,0)").alias("mass")).where("mass > 0")
+        blocks = massed.groupBy("client", "block").agg(F.sum("mass").alias("mass"), F.collect_set("mass").alias("values"))
+        rows = blocks.select("client", "block", "mass", F.aggregate("values", F.lit(0).cast("decimal(38,0)"), _gcd_step).alias("divisor")).collect()
+        rows.sort(key=lambda r: (r["client"], r["block"]))
+        if not rows:
             break
-        divisor = gcd(*(int(r["divisor"]) for r in blocks))
-        left = E.below(sum(int(r["mass"]) for r in blocks) // divisor, words) * divisor
-        for r in blocks:
+        divisor = gcd(*(int(r["divisor"]) for r in rows))
+        left = E.below(sum(int(r["mass"]) for r in rows) // divisor, words) * divisor
+        for r in rows:
             if left < int(r["mass"]):
                 break
             left -= int(r["mass"])
-        inside = massed.where((F.col("client") == r["client"]) & (F.col("mass") > 0))
-        from pyspark.sql import Window as W
-
-        upto = inside.withColumn("upto", F.sum("mass").over(W.orderBy("local_row")))
-        hit = upto.where(F.col("upto") > F.lit(str(left)).cast("decimal(38,0)")).orderBy("local_row").first()
-        chosen.append((list(hit["x"]), r["client"], hit["local_row"]))
-    picked = [c for c, _, _ in chosen]
-    if len(picked) < k:
-        taken = {(c, i) for _, c, i in chosen}
-        more = points.orderBy("client", "local_row").select("client", "local_row", "x").limit(k).collect()
-        picked += [list(r["x"]) for r in more if (r["client"], r["local_row"]) not in taken][: k - len(picked)]
-    return [tuple(v / scale for v in c) for c in picked]
+        inside = massed.where((F.col("client") == r["client"]) & (F.col("block") == r["block"])).withColumn("upto", F.sum("mass").over(W.orderBy("local_row")))
+        hit = inside.where(F.col("upto") > F.lit(str(left)).cast("decimal(38,0)")).orderBy("local_row").first()
+        chosen.append((hit["client"], hit["local_row"], list(hit["x"])))
+    if len(chosen) < k:
+        taken = {c[:2] for c in chosen}
+        first = points.orderBy("client", "local_row").select("client", "local_row", "x").limit(k).collect()
+        chosen += [(r["client"], r["local_row"], list(r["x"])) for r in first if (r["client"], r["local_row"]) not in taken][: k - len(chosen)]
+    return chosen
+
+
+def pooled_centers(points: DataFrame, sizes, seed: int, k: int, scale: float) -> list[Center]:
+    """Weighted D-squared sampling over all encoded points, weights one over the group's size."""
+    n = sum(sizes)
+    if k >= n:
+        rows = points.orderBy("client", "local_row").select("x").collect()  # k rows at most
+        return [tuple(v / scale for v in rows[i]["x"]) for i in E.completed(range(n), n, k)]
+    whole = E.as_integers([Fraction(1, s) for s in sizes])
+    weight = F.element_at(F.array(*[F.lit(str(w)).cast("decimal(38,0)") for w in whole]), F.col("group_id") + 1)
+    return [tuple(v / scale for v in x) for _, _, x in distributed_choice(points, weight, k, E.tape(seed, "centralized"))]
+
+
+def _large_slice(points: DataFrame, client: int, g: int, n: int, seed: int, settings: Settings) -> DataFrame:
+    """The same result as for a small slice, without a task that reads it whole."""
+    own = points.where((F.col("client") == client) & (F.col("group_id") == g))
+    chosen = distributed_choice(own, F.lit(1).cast("decimal(38,0)"), settings.k, E.tape(seed, "local", client, g))
+    scale = float(settings.grid.scale)
+    reps = [[v / scale for v in x] for _, _, x in chosen]
+    index = {row: own.where(F.col("local_row") < row).count() for _, row, _ in chosen}
+    held = {r["label"]: r["n"] for r in R.assigned(own, reps, settings.grid).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    anchors = E.snapped(reps, settings.gamma).tolist()
+    rows = [(client, g, j, index[row], reps[j], anchors[j], held.get(j, 0), settings.k, n) for j, (_, row, _) in enumerate(chosen)]
+    return points.sparkSession.createDataFrame(rows, SLICES)
 
 
 def _gcd_step(a, b):

@@ -145,6 +145,17 @@ def test_baselines(spark):
     assert T.refine_from(encoded, start, settings)[0][0] == start
 
 
+def test_large_slices_draw_the_same(spark, monkeypatch):
+    from fairspark.operators import seeding as S
+
+    rows = federation(23) + [(90, i, 0, [1.0, 2.0, 3.0]) for i in range(12)]
+    settings = Settings(3, 0, gamma=0.25)
+    encoded = P.encoded(frame(spark, rows), settings.grid)
+    monkeypatch.setattr(S, "BLOCK", 4)
+    a, b = (sorted(map(str, S.local_slices(encoded, 8, settings, n).collect())) for n in (10**6, 9))
+    assert a == b
+
+
 def test_layout_does_not_matter(spark):
     rows = federation(18)
     want = T.train(frame(spark, rows, 1), 4, Settings(3, 2))
