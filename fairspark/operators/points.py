@@ -96,12 +96,40 @@ def request_frame(spark, removed) -> DataFrame:
     return spark.createDataFrame(rows, REMOVED)
 
 
+def counted_request(points: DataFrame, removed) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """The request as a table, and how many rows it takes of each slice (client, group_id) that it touches.
+
+    A mapping of client to rows is checked here and in the one join that counts; a table is checked by joins.
+    """
+    if isinstance(removed, DataFrame):
+        table = small(checked_request(points, removed))
+        return table, _touched(points, table)
+    table = request_frame(points.sparkSession, removed)
+    if sum(map(len, removed.values())) <= BROADCAST_ROWS:
+        table = F.broadcast(table)
+    rows = [(int(c), int(r)) for c, own in removed.items() for r in own]
+    counts = _touched(points, table) if rows else {}
+    if len(set(rows)) < len(rows) or sum(counts.values()) < len(rows):
+        raise ValueError("invalid request: a row is repeated or unknown")
+    return table, counts
+
+
+def _touched(points: DataFrame, removed: DataFrame) -> dict[tuple[int, int], int]:
+    return {(r["client"], r["group_id"]): r["n"] for r in taken_out(points, removed).groupBy("client", "group_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def marked(rows: DataFrame, removed: DataFrame) -> DataFrame:
+    """rows with gone: whether a request takes them."""
+    return rows.join(removed.select("client", "local_row", F.lit(True).alias("gone")), ["client", "local_row"], "left").na.fill(False, ["gone"])
+
+
 def retained(points: DataFrame, removed: DataFrame) -> DataFrame:
-    return points.join(small(removed), ["client", "local_row"], "left_anti")
+    """Survivors. Requests that counted_request has passed carry a broadcast hint if their size allows; others are planned by their statistics."""
+    return points.join(removed, ["client", "local_row"], "left_anti")
 
 
 def taken_out(points: DataFrame, removed: DataFrame) -> DataFrame:
-    return points.join(small(removed), ["client", "local_row"], "left_semi")
+    return points.join(removed, ["client", "local_row"], "left_semi")
 
 
 def touched_slices(points: DataFrame, removed: DataFrame) -> DataFrame:

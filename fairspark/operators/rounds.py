@@ -117,9 +117,10 @@ def cached_statistics(cache: DataFrame, groups: int, k: int, d: int) -> Stats:
 
 
 def patched(cache: DataFrame, centers, shift, grid: Grid, groups: int, mode: str) -> tuple[Stats, int, int]:
-    """What survivors add to the cached statistics (new labels less old ones where the certificate fails), the survivors and the failing rows.
+    """What a deletion changes of the cached statistics, the survivors and those of them whose certificate fails.
 
-    One pass: certify, assign failing rows anew, sum with signs. Counts travel as a row of cluster -1.
+    cache has a column gone. One pass: rows that are gone leave their old cell; survivors are certified, and failing ones move
+    from their old cell to that of the new label. Counts travel as a row of cluster -1.
     """
     c, scale, d = np.asarray(centers, np.float64), float(grid.scale), len(centers[0])
 
@@ -127,13 +128,16 @@ def patched(cache: DataFrame, centers, shift, grid: Grid, groups: int, mode: str
         sums, rows, failing = Summed(groups, len(c)), 0, 0
         for b in batches:
             if b.num_rows:
-                old, runner = column(b, "label").to_numpy(), column(b, "runner_up").to_numpy()
+                old, runner, gone = (column(b, n).to_numpy(zero_copy_only=False) for n in ("label", "runner_up", "gone"))
                 ok = E.certified(old, runner, matrix(column(b, "own"), b.num_rows), matrix(column(b, "other"), b.num_rows), shift, mode)
-                rows, failing = rows + len(ok), failing + int((~ok).sum())
-                if not ok.all():
-                    x, g = matrix(column(b, "x"), b.num_rows)[~ok], column(b, "group_id").to_numpy()[~ok]
-                    sums.add(x, g, old[~ok], -1)
-                    sums.add(x, g, E.nearest(x / scale, c)[0])
+                again = ~ok & ~gone
+                rows, failing = rows + int((~gone).sum()), failing + int(again.sum())
+                if again.any() or gone.any():
+                    x, g = matrix(column(b, "x"), b.num_rows), column(b, "group_id").to_numpy()
+                    leaving = again | gone
+                    sums.add(x[leaving], g[leaving], old[leaving], -1)
+                    if again.any():
+                        sums.add(x[again], g[again], E.nearest(x[again] / scale, c)[0])
         yield sums.batch()
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), pa.array([[Decimal(rows), Decimal(failing)]], pa.list_(pa.decimal128(38, 0)))], names=["group_id", "cluster", "v"])
 

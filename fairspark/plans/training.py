@@ -76,13 +76,18 @@ def train(points: DataFrame, seed: int, settings: Settings, cache: bool = False)
     return Model(settings, seed, sizes, slices, anchors, trajectory, stats, digests, updates, encoded, rounds, timing=dict(clock))
 
 
-def _without(model: Model, removed: DataFrame) -> tuple[DataFrame, DataFrame, tuple[int, ...]]:
+def _without(model: Model, removed: DataFrame, touched: dict[tuple[int, int], int]) -> tuple[DataFrame, DataFrame, tuple[int, ...]]:
     """Surviving points, slices (those of touched slices seeded anew from the survivors) and sizes."""
+    gone = [sum(n for (_, h), n in touched.items() if h == g) for g in range(model.settings.groups)]
+    sizes = tuple(n - k for n, k in zip(model.sizes, gone, strict=True))
+    if min(sizes) == 0:
+        raise ValueError("the request empties a group")
+    if not touched:
+        return model.points, model.slices, sizes
     points = P.retained(model.points, removed)
-    sizes = P.group_sizes(points, model.settings.groups)
-    touched = kept(P.touched_slices(model.points, removed))
-    same = model.slices.join(P.small(touched), ["client", "group_id"], "left_anti")
-    again = S.local_slices(points.join(P.small(touched), ["client", "group_id"], "left_semi"), model.seed, model.settings)
+    keys = F.broadcast(model.points.sparkSession.createDataFrame(list(touched), "client long, group_id int"))  # one row for each slice at most
+    same = model.slices.join(keys, ["client", "group_id"], "left_anti")
+    again = S.local_slices(points.join(keys, ["client", "group_id"], "left_semi"), model.seed, model.settings)
     return points, kept(same.unionByName(again)), sizes
 
 
@@ -99,8 +104,8 @@ def unlearn(model: Model, removed, mode: str = "runnerup", threshold: float = 0.
         raise ValueError("this model has no cache to replay from")
     settings, clock = model.settings, _Clock()
     began = time.perf_counter()
-    removed = kept(P.checked_request(model.points, P.request_frame(model.points.sparkSession, removed)))
-    points, slices, sizes = _without(model, removed)
+    removed, touched = P.counted_request(model.points, removed)
+    points, slices, sizes = _without(model, removed, touched)
     anchors = S.anchors_of(slices, sizes)
     centers = S.server_centers(anchors, model.seed, settings.k, rounds=settings.anchor_rounds)
     began = clock("seeding", began)
@@ -113,14 +118,13 @@ def unlearn(model: Model, removed, mode: str = "runnerup", threshold: float = 0.
         count = {"round": t, "N": survivors, "A": 0, "P": 0, "S": 0, "J": 0}
         if fallback is None:
             shift = E.shifts(np.array(centers), np.array(model.trajectory[t]))
-            delta, rows, failing = R.patched(P.retained(model.cache[t], removed), centers, shift, settings.grid, settings.groups, mode)
+            delta, rows, failing = R.patched(P.marked(model.cache[t], removed), centers, shift, settings.grid, settings.groups, mode)
             count |= {"N": rows, "A": rows, "P": rows - failing, "S": rows - failing}
             if Fraction(failing) > limit * rows:
                 fallback = t
                 count |= {"S": 0, "J": failing}
             else:
-                gone = R.cached_statistics(P.taken_out(model.cache[t], removed), settings.groups, settings.k, len(centers[0]))
-                own = model.stats[t].plus(gone, -1).plus(delta)
+                own = model.stats[t].plus(delta)
         if fallback is not None:
             own = R.statistics(points, centers, settings.grid, settings.groups)
         began = clock("assignment", began)
