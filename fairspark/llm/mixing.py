@@ -50,7 +50,7 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, total_share: float = 1.5
     return s.select("source", "source_size", "kind", F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, total_share: float = 1.5, most_repeats: int = 2, docs_per_bucket: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, total_share: float = 1.5, most_repeats: int = 2, docs_per_bucket: int = 2_000) -> DataFrame:
     """One row per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken, position.
 
     size: words of the text (null or empty: 0). taken: words that the mix takes of the document, repeats counted: a source is
