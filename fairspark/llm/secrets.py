@@ -73,7 +73,9 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     flags = near.groupBy("th", "tl", "start", "rank", "end").agg(F.max(F.col("r2").isin(1, 3)).alias("ident"), F.max(F.col("r2").isin(0, 2, 4)).alias("secret"), F.max(F.col("r2") == 5).alias("endpoint"))
     linked = flags.where((F.col("rank") == 3) & F.col("secret") | (F.col("rank") == 4) & (F.col("ident") | F.col("endpoint")) | (F.col("rank") == 5) & F.col("ident") & F.col("secret"))
     added = linked.groupBy("th", "tl").agg(F.collect_list(F.struct("start", "rank", "end")).alias("added"))
-    return rows.join(added, ["th", "tl"], "left").select("doc_id", "base", F.coalesce("added", F.array().cast(_SPAN)).alias("added"))
+    without = F.array().cast(_SPAN)
+    linkable = rows.where("size(weak) > 0").join(added, ["th", "tl"], "left").select("doc_id", "base", F.coalesce("added", without).alias("added"))
+    return rows.where("size(weak) = 0").select("doc_id", "base", without.alias("added")).unionAll(linkable)
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
