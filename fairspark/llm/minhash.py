@@ -240,8 +240,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     where = first.withColumnRenamed("component", "mid").join(relabel, "mid", "left").select("node", F.coalesce("last", "mid").alias("comp"))
     alone = relabel.join(first.select(F.col("node").alias("mid")), "mid", "left_anti").select(F.col("mid").alias("node"), F.col("last").alias("comp"))
     placed = classes.select("hi", "lo", "node", "first_id").join(where.unionByName(alone), "node", "left").select("hi", "lo", "first_id", F.coalesce("comp", "node").alias("comp"))
-    smallest = placed.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = placed.join(smallest, "comp").select("hi", "lo", "component_id")
+    if unnamed:
+        smallest = placed.groupBy("comp").agg(F.min("first_id").alias("component_id"))
+        named = placed.join(smallest, "comp").select("hi", "lo", "component_id")
+    else:  # nodes are doc_ids, and components are named by the smallest node
+        named = placed.select("hi", "lo", F.col("comp").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
