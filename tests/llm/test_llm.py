@@ -386,3 +386,16 @@ def test_digest_columns(spark):
 
     assert set(ORACLE_SQL) <= set(QUERIES) and {int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES} == set(range(1, 11))
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_rows_without_ids(spark):
+    """A null doc_id, once or often, stops no operator, and every row comes back."""
+    rows = [(None, prose(random.Random(i % 2), 70), None, None, None) for i in range(4)] + [(None, None, None, None, None), (1, "password=abcdefghijklmno 10.0.0.1", "en", "s", 3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    bench = spark.createDataFrame([(None, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int")
+    outs = [
+        lines.dedup_lines(df), lines.dedup_lines(df, broadcast_limit=0), decontam.contamination(df, bench), minhash.near_duplicates(df), host_rules.host_filter(df), secrets.scan(df), mixing.mix(df),
+        katz.katz_scores(df), toxicity.score_toxicity(df, toxicity.train(df, labels)), cotrain.score_quality(df, cotrain.train(df, labels)),
+    ]
+    assert [o.count() for o in outs] == [6] * len(outs)
