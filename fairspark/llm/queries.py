@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_host_rules": host_rules.OP2_SQL,
+    "op3_near_duplicates": minhash.OP3_SQL,
     "op4_redirect_filter": url_filter.OP4_SQL,
     "op5_secrets": secrets.OP5_SQL,
     "op6_decontaminate": decontam.OP6_SQL,

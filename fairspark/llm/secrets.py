@@ -15,7 +15,7 @@ _ANY_CASE = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c
 ASSIGN = f"(?:{'|'.join(map(_ANY_CASE, ('password', 'passwd', 'secret', 'token', 'api_?key')))})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = "AKIA[A-Z0-9]{14,}", "[0-9a-f]{16,}"
 #: Weak kinds: shorter or other identifiers, long mixed runs, URLs and addresses.
-IDENT, KEY, ENDPOINT = "(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{8,}", "[A-Za-z0-9+/_-]{20,}", r"""(?:[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D"'<>]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?)"""
+IDENT, KEY, ENDPOINT = "(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{8,}", "[A-Za-z0-9+/_-]{20,}", r"""(?:[a-z][a-z0-9+.-]{0,15}://[^\x20\x09-\x0D"'<>]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?)"""
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 #: A cheap condition without which a pattern cannot match.
