@@ -16,7 +16,7 @@ from ..operators import rounds as R
 from ..operators import seeding as S
 from ..operators import update as U
 
-METHODS = ("merged_1k", "merged_2k", "splitgroup_2k", "centralized")
+METHODS = ("merged_1k", "merged_2k", "grouped_2k", "centralized")
 
 
 class CountedWords:
@@ -75,7 +75,7 @@ def witness_center(kappa: int, seed: int, method: str, unit: int = 150, distance
     if method == "centralized":
         everything = clients[0] + clients[1]
         return float(draw(everything, [Fraction(1, size)] * 4, 1, method)[0]), drawn
-    if method == "splitgroup_2k":
+    if method == "grouped_2k":
         for c, runs in clients.items():
             for run in runs:
                 anchors += draw([run], [Fraction(1)], 1, "local", c, run[2])
@@ -166,7 +166,7 @@ def run_setting(points: DataFrame, seed: int, settings: Settings, method: str, s
     from .training import centralized, merged, refine_from
 
     slices = None
-    if method == "splitgroup_2k":
+    if method == "grouped_2k":
         slices = S.local_slices(points, seed, settings).persist()
         start = S.server_centers(S.anchors_of(slices, sizes), seed, settings.k, rounds=settings.anchor_rounds)
     elif method in ("merged_1k", "merged_2k"):

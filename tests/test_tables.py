@@ -174,7 +174,7 @@ def test_run_lengths_draw_what_rows_draw(kappa):
     rows = [(0, i, 0, [0.0]) for i in range(kappa * unit)] + [(0, 100 + i, 1, [10.0]) for i in range(unit)] + [(1, i, 0, [0.0]) for i in range(unit)] + [(1, 100 + i, 1, [0.0]) for i in range(kappa * unit)]
     for seed in range(3):
         assert [(Wit.witness_center(kappa, seed, "centralized", unit)[0],)] == oracle.centralized(rows, seed, 1, clip=16.0)
-        assert [(Wit.witness_center(kappa, seed, "splitgroup_2k", unit)[0],)] == oracle.train(rows, seed, 1, 0, clip=16.0)[0]
+        assert [(Wit.witness_center(kappa, seed, "grouped_2k", unit)[0],)] == oracle.train(rows, seed, 1, 0, clip=16.0)[0]
         for name, reps in (("merged_1k", 1), ("merged_2k", 2)):
             assert [(Wit.witness_center(kappa, seed, name, unit)[0],)] == oracle.merged(rows, seed, 1, reps, clip=16.0)
 
@@ -193,7 +193,7 @@ def test_run_lengths_of_any_runs():
 def test_witness_population(spark):
     points = Tab.kappa_witness(spark, 4, 6)
     model = T.train(points, 3, Settings(1, 0, grid=Grid(12, 16.0)))
-    assert model.sizes == (30, 30) and model.centers == [(Wit.witness_center(4, 3, "splitgroup_2k", 6)[0],)]
+    assert model.sizes == (30, 30) and model.centers == [(Wit.witness_center(4, 3, "grouped_2k", 6)[0],)]
     assert Tab.federation_grid(spark).count() > 180
 
 
