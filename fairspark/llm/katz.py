@@ -69,7 +69,7 @@ class Hot:
     words: np.ndarray
     word_counts: np.ndarray
     pairs: np.ndarray
-    pair_counts: np.ndarray
+    pair_kinds: Kinds
     buckets: int
 
     @staticmethod
@@ -165,6 +165,17 @@ def _counts(chunk_chars: int, hot_words: np.ndarray | None = None):
     return run
 
 
+class Kinds:
+    """What a token adds to its document, by kind of pair: known to the base score, to the score, and which count it raises."""
+
+    def __init__(self, pair_count: np.ndarray, word_count: np.ndarray, is_end: np.ndarray):
+        self.base = np.log10(word_count + 1)
+        self.known = word_count > 0
+        self.count = np.minimum(pair_count, TURING + 1).astype(np.int8)  # 0: unseen
+        in_context = np.where(self.known & ~is_end, np.log10(np.maximum(word_count, 1)), 0.0)
+        self.score = np.where(self.count > TURING, np.log10(np.maximum(pair_count, 1) - 0.5), np.where(self.count == 0, self.base, 0.0)) - in_context
+
+
 class _Sums:
     """Of each document of a chunk: what is known of its base score and its score, and how often each kind of token occurs."""
 
@@ -172,20 +183,14 @@ class _Sums:
         self.base, self.score = np.zeros(n), np.zeros(n)
         self.counts = np.zeros((TURING + 2, n), np.int64)  # known words, unseen pairs, pairs seen 1..TURING times
 
-    def add(self, doc: np.ndarray, times: np.ndarray, word: np.ndarray, word_count: np.ndarray, pair_count: np.ndarray) -> None:
-        n = len(self.base)
-        by_doc = lambda x: np.bincount(doc, weights=x, minlength=n)
-        log_base = times * np.log10(word_count + 1)
-        self.base += by_doc(log_base)
-        known = word_count > 0
-        self.counts[0] += by_doc(times * known).astype(np.int64)
-        unseen = pair_count == 0
-        self.counts[1] += by_doc(times * unseen).astype(np.int64)
-        own = np.where(unseen, log_base, 0.0) + np.where(pair_count > TURING, times * np.log10(np.maximum(pair_count, 1) - 0.5), 0.0)
-        self.score += by_doc(own - np.where(known & (word != END), times * np.log10(np.maximum(word_count, 1)), 0.0))
-        for r in range(1, TURING + 1):
-            if (at := pair_count == r).any():
-                self.counts[1 + r] += by_doc(times * at).astype(np.int64)
+    def add(self, doc: np.ndarray, times: np.ndarray | None, kinds: np.ndarray, of: Kinds) -> None:
+        """times: None for once each."""
+        n, once = len(self.base), (lambda x: x) if times is None else (lambda x: times * x)
+        self.base += np.bincount(doc, weights=once(of.base[kinds]), minlength=n)
+        self.score += np.bincount(doc, weights=once(of.score[kinds]), minlength=n)
+        self.counts[0] += np.bincount(doc, weights=once(of.known[kinds]), minlength=n).astype(np.int64)
+        cell = doc.astype(np.int64) * (TURING + 2) + of.count[kinds]
+        self.counts[1:] += np.bincount(cell, weights=times, minlength=n * (TURING + 2)).reshape(n, -1).T[: TURING + 1].astype(np.int64)
 
     def packed(self) -> bytes:
         has = np.nonzero(self.counts[:2].any(0) | self.counts[2:].any(0) | (self.base != 0) | (self.score != 0))[0]
@@ -212,8 +217,7 @@ def _deal(hot, chunk_chars: int):
                 key = pair_key(h, w)
                 is_hot, at = Hot.find(shared.pairs, key)
                 if is_hot.any():
-                    of_word, w_at = Hot.find(shared.words, w[is_hot])
-                    sums.add(doc[is_hot], np.ones(int(is_hot.sum())), w[is_hot], np.where(of_word, shared.word_counts[w_at], 0), shared.pair_counts[at[is_hot]])
+                    sums.add(doc[is_hot], None, at[is_hot], shared.pair_kinds)
                 n_tokens = np.bincount(doc, minlength=len(ids))
                 out.append((chunk % shared.buckets, _TABLE, chunk, _packed(ids, ~learn, n_tokens, sums.packed())))
                 key, h, w, doc = (x[~is_hot] for x in (key, h, w, doc))
@@ -273,32 +277,43 @@ def _meet(hot):
                 w_names, w_runs, h_names, *rest = _unpacked(blob)
                 parts.append((_from_named(*w_names, shared.words), w_runs, _from_named(*h_names, shared.words), *rest))
         if parts:
-            w = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-            h = np.concatenate([p[2][p[3]] for p in parts])
-            trained = np.concatenate([p[4].astype(np.int64) for p in parts])
-            _, first, kind_of = np.unique(pair_key(h, w), return_index=True, return_inverse=True)
-            pair_count = np.bincount(kind_of, weights=trained).astype(np.int64)
-            is_hot, at = Hot.find(shared.words, w[first])
-            _, w_of = np.unique(w[first], return_inverse=True)
+            of = lambda p: (np.repeat(p[0], p[1]), p[2][p[3]])  # noqa: E731  words and contexts of a chunk's pairs
+            ends = np.cumsum([len(p[3]) for p in parts])
+            keys = np.concatenate([pair_key(h, w) for w, h in map(of, parts)])
+            _, first, kind_of = np.unique(keys, return_index=True, return_inverse=True)
+            del keys
+            kind_of = kind_of.astype(np.int32)
+            w, h = np.empty(len(first), np.uint64), np.empty(len(first), np.uint64)
+            order = np.argsort(first)
+            cuts = np.searchsorted(first[order], np.concatenate([[0], ends]))
+            for i, p in enumerate(parts):
+                here = order[cuts[i] : cuts[i + 1]]
+                at = first[here] - (ends[i] - len(p[3]))
+                w[here], h[here] = (x[at] for x in of(p))
+            del first, order
+            pair_count = np.bincount(kind_of, weights=np.concatenate([p[4] for p in parts]), minlength=len(w)).astype(np.int64)
+            is_hot, at = Hot.find(shared.words, w)
+            _, w_of = np.unique(w, return_inverse=True)
             word_count = np.bincount(w_of, weights=pair_count).astype(np.int64)[w_of]
             if is_hot.any():
                 word_count[is_hot] = shared.word_counts[at[is_hot]]
+            del w_of, is_hot, at
             seen = pair_count > 0
-            names, by = np.unique(h[first][seen], return_inverse=True)
+            names, by = np.unique(h[seen], return_inverse=True)
             r = pair_count[seen]
             columns = [np.bincount(by, weights=x, minlength=len(names)).astype(np.int64) for x in (word_count[seen] + 1, *(r == k for k in range(1, TURING + 1)), r > TURING)]
             out.append((_CONTEXT, 0, _packed(names, [_small(c) for c in columns]), [int((r == k).sum()) for k in range(1, TURING + 2)]))
-            begin = 0
-            for chunk, p in zip(chunks, parts, strict=True):
-                own = slice(begin, begin + len(p[3]))
-                begin += len(p[3])
-                n, doc, times = p[5].astype(np.int64), p[6].astype(np.int64), p[7].astype(np.float64)
-                kinds = np.repeat(kind_of[own], n)
+            del names, by, r, columns, seen
+            kinds_of = Kinds(pair_count, word_count, w == END)
+            for i, (chunk, p) in enumerate(zip(chunks, parts, strict=True)):
+                kinds = np.repeat(kind_of[ends[i] - len(p[3]) : ends[i]], p[5])
+                doc, times = p[6].astype(np.int32), p[7].astype(np.float64)
                 sums = _Sums(int(doc.max()) + 1)
-                sums.add(doc, times, np.repeat(w[own], n), word_count[kinds], pair_count[kinds])
+                sums.add(doc, times, kinds, kinds_of)
                 out.append((_PARTIAL, chunk, sums.packed(), None))
-                if (new := pair_count[kinds] == 0).any():
-                    out.append((_UNSEEN, chunk, _packed(np.repeat(h[own], n)[new], _small(doc[new]), _small(times[new].astype(np.int64))), None))
+                if (new := kinds_of.count[kinds] == 0).any():
+                    out.append((_UNSEEN, chunk, _packed(h[kinds[new]], _small(doc[new]), _small(times[new].astype(np.int64))), None))
+                parts[i] = None
         cols = list(zip(*out, strict=True))
         return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.int64()))], names=["kind", "chunk", "payload", "seen"])
 
@@ -346,7 +361,7 @@ def _assembled(star: np.ndarray, size: float, starts: int, id_type: pa.DataType)
     return run
 
 
-def katz_scores(docs: DataFrame, chunk_chars: int = 3_500_000, bucket_chars: int = 10_000_000) -> DataFrame:
+def katz_scores(docs: DataFrame, chunk_chars: int = 3_500_000, bucket_chars: int = 18_000_000) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents with crc32(doc_id) mod 7 = 2 are held out, the others train. Tokens: lower-cased words and one end. n_known:
@@ -368,7 +383,9 @@ def katz_scores(docs: DataFrame, chunk_chars: int = 3_500_000, bucket_chars: int
     paired = np.array([x[0] for x in top if x[1] * PAIRED_WORDS >= tokens], np.uint64)
     pairs = docs.mapInArrow(_counts(chunk_chars, paired), "key long, h long, w long, n long").groupBy("key", "h", "w").agg(F.sum("n").alias("n"))
     hot_pairs = sorted(((np.int64(r["key"]).view(np.uint64), r["h"], np.int64(r["w"]).view(np.uint64), r["n"]) for r in pairs.where((F.col("n") * HOT_PAIRS >= tokens) & (F.col("n") > TURING + 1)).collect()), key=lambda x: x[0])
-    hot = Hot(hot_words, np.array([x[1] for x in top], np.int64), np.array([x[0] for x in hot_pairs], np.uint64), np.array([x[3] for x in hot_pairs], np.int64), max(1, -(-size // bucket_chars)))
+    count_of = dict(top)
+    kinds = Kinds(np.array([x[3] for x in hot_pairs], np.int64), np.array([count_of[x[2]] for x in hot_pairs], np.int64), np.array([x[2] == END for x in hot_pairs], bool))
+    hot = Hot(hot_words, np.array([x[1] for x in top], np.int64), np.array([x[0] for x in hot_pairs], np.uint64), kinds, max(1, -(-size // bucket_chars)))
     shared = spark.sparkContext.broadcast(hot)
     release(spark)
 
@@ -377,7 +394,6 @@ def katz_scores(docs: DataFrame, chunk_chars: int = 3_500_000, bucket_chars: int
     release(spark)  # the exchanged corpus is not needed any more
     star, slots = discounted([x or 0 for x in seen]), float(tokens + vocabulary + 1)
     parts = found.where(F.col("kind") == _CONTEXT).select("payload").mapInArrow(_contexts(star), "h long, mass long, left_over double")
-    count_of = dict(top)
     extra = [(int(h), int(count_of[w]) + 1, 0.5) for _, h, w, _ in hot_pairs]
     if extra:
         parts = parts.unionAll(spark.createDataFrame(extra, "h long, mass long, left_over double"))
