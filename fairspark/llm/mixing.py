@@ -62,12 +62,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, total_share: floa
     """
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     sized = cut(docs.select("doc_id", "source", F.size(word_array(F.col("text"))).cast("long").alias("size"), key.alias("key")))
-    digits = 0
-    while sized.count() > docs_per_bucket * 16**digits and digits < 8:
+    n, digits = sized.count(), 0
+    while n > docs_per_bucket * 16**digits and digits < 8:
         digits += 1
     sized = sized.withColumn("bucket", F.substring("key", 1, digits))
-    sums = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
-    targets = cut(source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total_share, most_repeats))
+    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total_share, most_repeats)
     earlier = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sums.withColumn("start", earlier).alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
     starts = starts.select(F.col("b.source").alias("s"), F.col("bucket").alias("k"), "start", "source_size", "kind", "target")
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, total_share: floa
     for k, knots in enumerate(schedules):
         position = F.when(F.col("kind") % len(schedules) == k, inverse_demand(share, knots)).otherwise(position)
     placed = placed.withColumn("taken", sum(turns[1:], turns[0]).cast("long")).withColumn("position", F.when(F.col("taken") > 0, position))
-    out = cut(placed.select("doc_id", "source", "size", "source_size", "target", "taken", "position"))
+    out = placed.select("doc_id", "source", "size", "source_size", "target", "taken", "position")
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
