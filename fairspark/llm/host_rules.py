@@ -36,7 +36,7 @@ def base_failed() -> Column:
 def host_verdicts(rows: DataFrame, failed: Column, max_rate: float = 0.5) -> tuple[DataFrame, int]:
     """(host, n_docs, n_failed, rate, rejected) and the number of hosts. rate: (failed + a) / (docs + a + b), where the prior's
     a and b fit the mean and the variance of the hosts' rates beyond what sampling explains (1 to 10**6 pseudo-documents in all)."""
-    hosts = cut(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed")))
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed"))
     own = F.col("n_failed") / F.col("n_docs")
     got = hosts.agg(F.count(F.lit(1)).alias("n"), F.avg(own).alias("mean"), F.var_pop(own).alias("var"), F.avg(1 / F.col("n_docs")).alias("each")).first()
     mean, noise = got["mean"] or 0.0, (got["mean"] or 0.0) * (1 - (got["mean"] or 0.0))
