@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+EDGES_PER_FILE = 25_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for the ends of all edges; component: the smallest node that can be reached. Nulls and loops are ignored.
 
@@ -18,19 +21,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") < F.col("b")))
     e = cut(e.distinct())
     rounds: list[DataFrame] = []
-    while not e.isEmpty():
+    while size := e.count():
+        parts = 1 + size // EDGES_PER_FILE  # shrinking graphs are kept in few files
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")))
+        point = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")).coalesce(parts))
         while True:
             next_hop = point.select(F.col("node").alias("to"), F.col("to").alias("on"))
-            jumped = cut(point.join(next_hop, "to").select("node", F.col("on").alias("to"), (F.col("on") != F.col("to")).alias("moved")))
+            jumped = cut(point.join(next_hop, "to").select("node", F.col("on").alias("to"), (F.col("on") != F.col("to")).alias("moved")).coalesce(parts))
             point = jumped.select("node", "to")
             if jumped.where("moved").isEmpty():
                 break
         rounds.append(point)
         left, right = point.select(F.col("node").alias("a"), F.col("to").alias("ra")), point.select(F.col("node").alias("b"), F.col("to").alias("rb"))
         e = e.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        e = cut(e.distinct())
+        e = cut(e.distinct().coalesce(parts))
     if not rounds:
         return edges.select(F.col(a).alias("node"), F.col(a).alias("component")).limit(0)
     labels = rounds[0].withColumnRenamed("to", "component")
