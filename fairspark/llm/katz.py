@@ -361,7 +361,7 @@ def _assembled(star: np.ndarray, size: float, starts: int, id_type: pa.DataType)
     return run
 
 
-def katz_scores(docs: DataFrame, chunk_chars: int = 3_500_000, bucket_chars: int = 18_000_000) -> DataFrame:
+def katz_scores(docs: DataFrame, chunk_chars: int = 3_000_000, bucket_chars: int = 12_000_000) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents with crc32(doc_id) mod 7 = 2 are held out, the others train. Tokens: lower-cased words and one end. n_known:
