@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training order: every document with its source's target, the words taken and its position, range-sorted."""
+    """The training order: every document with its source's target, the words taken and its readings, each with its position; range-sorted by the first."""
     return mixing.mix(docs)
 
 

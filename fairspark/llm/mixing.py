@@ -51,12 +51,13 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, total_share: float = 1.5
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, total_share: float = 1.5, most_repeats: int = 2, docs_per_bucket: int = 2_000) -> DataFrame:
-    """One row per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken, position.
+    """One row per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken, position, readings.
 
     size: words of the text (null or empty: 0). taken: words that the mix takes of the document, repeats counted: a source is
     read in the order of a hash of id and text, again from the start at its end, until its target, rounded down, is reached;
-    the last document is cut short. position: when training first meets the document (0..1; null if it takes nothing).
-    Rows are range-sorted by position, then doc_id. Null sources form one source, the last; repeated rows are documents of
+    the last document is cut short. readings: for each turn in which words are taken of it, (turn, words, position), by turn;
+    position is when training meets the document in that turn (0..1). position beside it: that of the first reading (null if
+    it takes nothing). Rows are range-sorted by it, then doc_id; training_order() gives a row for each reading. Null sources form one source, the last; repeated rows are documents of
     their own; an empty table returns none; other columns are neither read nor returned. Running sums never put a source
     into one task: hash buckets of about docs_per_bucket documents are summed first.
     """
@@ -75,14 +76,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, total_share: floa
     placed = sized.withColumn("inside", inside).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")))
     offset, wanted = F.col("start") + F.col("inside"), F.floor("target")
     turns = [F.least(F.greatest(wanted - offset - e * F.col("source_size"), F.lit(0)), F.col("size")) for e in range(most_repeats)]
-    share, position = offset / F.col("target"), F.lit(None).cast("double")
-    for k, knots in enumerate(schedules):
-        position = F.when(F.col("kind") % len(schedules) == k, inverse_demand(share, knots)).otherwise(position)
-    placed = placed.withColumn("taken", sum(turns[1:], turns[0]).cast("long")).withColumn("position", F.when(F.col("taken") > 0, position))
-    out = placed.select("doc_id", "source", "size", "source_size", "target", "taken", "position")
+    readings = []
+    for e, words in enumerate(turns):
+        share, position = (offset + e * F.col("source_size")) / F.col("target"), F.lit(None).cast("double")
+        for k, knots in enumerate(schedules):
+            position = F.when(F.col("kind") % len(schedules) == k, inverse_demand(share, knots)).otherwise(position)
+        readings.append(F.when(words > 0, F.struct(F.lit(e).alias("turn"), words.cast("long").alias("words"), position.alias("position"))))
+    placed = placed.withColumn("taken", sum(turns[1:], turns[0]).cast("long")).withColumn("readings", F.array_compact(F.array(*readings)))
+    out = placed.withColumn("position", F.get("readings", F.lit(0))["position"]).select("doc_id", "source", "size", "source_size", "target", "taken", "position", "readings")
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def training_order(mixed: DataFrame) -> DataFrame:
+    """One row per reading of what mix() returned: doc_id, source, turn, words, position, range-sorted by position, then doc_id and turn."""
+    out = mixed.select("doc_id", "source", F.inline("readings"))
+    return out.repartitionByRange("position", "doc_id", "turn").sortWithinPartitions("position", "doc_id", "turn")
+
+
 def op8_mix(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

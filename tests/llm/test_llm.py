@@ -247,6 +247,25 @@ def test_mixing(docs, none, rows):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_places_every_reading(spark):
+    """Words taken again have their own place: by any time, a source has given what the integral of its schedule asks for."""
+    docs = [(i, "w " * (1 + i % 5), None, f"s{i % 20:02}", 0) for i in range(600)]
+    mixed = mixing.mix(spark.createDataFrame(docs, SCHEMA))
+    rows = mixed.collect()
+    assert all(sum(x["words"] for x in r["readings"]) == r["taken"] and (r["readings"] or [r])[0]["position"] == r["position"] for r in rows)
+    assert any(len(r["readings"]) == 2 and r["readings"][0]["position"] < r["readings"][1]["position"] for r in rows)
+    order = mixing.training_order(mixed).collect()
+    assert sum(x["words"] for x in order) == sum(r["taken"] for r in rows) and [x["position"] for x in order] == sorted(x["position"] for x in order)
+    target, largest = {r["source"]: r["target"] for r in rows}, max(r["size"] for r in rows)
+    for i, source in enumerate(sorted(target)):
+        t, w = zip(*mixing.SCHEDULES[i % 3], strict=True)
+        fine = np.interp(np.linspace(0, 1, 10001), t, w)
+        area = np.concatenate([[0], np.cumsum((fine[1:] + fine[:-1]) / 2)])
+        for when in (0.2, 0.5, 0.8, 1.0):
+            given = sum(x["words"] for x in order if x["source"] == source and x["position"] <= when)
+            assert abs(given - target[source] * area[int(when * 10000)] / area[-1]) <= largest + 1, (source, when)
+
+
 @pytest.mark.parametrize("knots", [*mixing.SCHEDULES, ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.0), (1.0, 2.0))])
 def test_inverse_demand(spark, knots):
     t = np.linspace(0, 1, 41)
