@@ -19,7 +19,7 @@ IDENT, KEY, ENDPOINT = "(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{8,}", "[A-Za-z0-9+/_-]{2
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 #: A cheap condition without which a pattern cannot match.
-_HINT = {IDENT: "AKIA|ASIA|AROA|AIDA", ENDPOINT: r"[a-z]://|[0-9]\.[0-9]"}
+_HINT = {IDENT: "AKIA|ASIA|AROA|AIDA", ENDPOINT: r"[a-z0-9+.-]://|[0-9]\.[0-9]"}
 
 
 def spans(text: Column, pattern: str, rank: int, good=None) -> Column:

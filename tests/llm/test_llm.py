@@ -221,6 +221,17 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_secrets_finds_every_scheme(spark):
+    """An endpoint counts whatever its scheme ends in, with no other URL or decimal number in the text."""
+    key, ident, schemes = "Zx9Zx9Zx9Zx9Zx9Zx9Zx9", "ASIA" + "B" * 12, ("https://h", "s3://bucket/k", "socks5://u:p@host:1080", "h2://h", "git+://h", "a.://h", "a-://h")
+    texts = [t for s in schemes for t in (f"{ident} {key} {s}", f"{key} {s}")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(secrets.scan(df).select("doc_id", secrets.joined(F.col("added")).alias("a")), "a")
+    for i, t in enumerate(texts):
+        kinds = [x.split(":")[0] for x in got[i][0].split(",")]
+        assert kinds == (["ident", "key", "endpoint"] if i % 2 == 0 else ["key"]), t
+
+
 def test_mixing(docs, none, rows):
     got = mixing.mix(docs, docs_per_bucket=8).collect()
     assert len(got) == len(rows)
