@@ -184,6 +184,14 @@ def j2_flat_index(spark, sf):
     return Fed.locate(orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("flat_index")), offsets, 256)
 
 
+@query(ORACLE_SQL["j2_flat_index"].replace(" WHERE o_orderkey % 7 = 0", ""))
+def j2_flat_index_whole(spark, sf):
+    """Every order located, where j2_flat_index takes one of seven."""
+    orders = read(spark, sf, "orders")
+    offsets = Fed.client_offsets(orders.select((F.col("o_custkey") % 25).alias("client")))
+    return Fed.locate(orders.select(F.col("o_orderkey").alias("flat_index")), offsets, 256)
+
+
 @query("SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
 def j3_total_lookup(spark, sf):
     found = read(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(read(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "left")
@@ -242,8 +250,16 @@ def j9_paired_ratio(spark, sf):
 BUDGET = "b AS (SELECT l_suppkey AS supplier, CAST(l_linenumber AS INTEGER) AS budget, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS value FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL)"
 
 
+ALL_BUDGETS = BUDGET.replace(" WHERE l_linenumber <= 3", "")
+
+
+def all_budgets(spark, sf) -> DataFrame:
+    return read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("supplier"), F.col("l_linenumber").cast("int").alias("budget")).agg(F.sum(F.col("l_quantity").cast("long")).alias("value"))
+
+
 def budgets(spark, sf) -> DataFrame:
-    return read(spark, sf, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_suppkey").alias("supplier"), F.col("l_linenumber").cast("int").alias("budget")).agg(F.sum(F.col("l_quantity").cast("long")).alias("value"))
+    """The first three budgets."""
+    return all_budgets(spark, sf).where("budget <= 3")
 
 
 @query(f"WITH {BUDGET} SELECT x.supplier, x.budget AS low_budget, y.budget AS high_budget, x.value AS low, y.value AS high, y.value - x.value AS change, (y.value - x.value) / nullif(x.value, 0) AS relative FROM b x JOIN b y ON x.supplier = y.supplier AND x.budget < y.budget")
@@ -251,6 +267,11 @@ def j10_budget_pairs(spark, sf):
     return Rep.pairs_over(budgets(spark, sf), ["supplier"], "budget", "value").select("supplier", "low_budget", "high_budget", "low", "high", "change", "relative")
 
 
+@query(ORACLE_SQL["j10_budget_pairs"].replace(BUDGET, ALL_BUDGETS))
+def j10_budget_pairs_whole(spark, sf):
+    return Rep.pairs_over(all_budgets(spark, sf), ["supplier"], "budget", "value").select("supplier", "low_budget", "high_budget", "low", "high", "change", "relative")
+
+
 @query(f"WITH {RUN} SELECT x.supplier, x.dataset, x.seconds AS N, y.seconds AS R, x.seconds - y.seconds AS difference, (x.seconds - y.seconds) / nullif(y.seconds, 0) AS relative FROM run x JOIN run y USING (supplier, dataset) WHERE x.method = 'N' AND y.method = 'R'")
 def j11_compared(spark, sf):
     return Rep.compared(run_records(spark, sf), ["supplier", "dataset"], "method", "seconds", "N", "R")
@@ -399,6 +420,14 @@ def w4_cdf_inversion(spark, sf):
     return upto.where(F.expr("upto > total div 3")).agg(F.min("o_orderkey").alias("chosen"))
 
 
+@query("WITH c AS (SELECT o_custkey % 25 AS client, o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS mass FROM orders), u AS (SELECT *, sum(mass) OVER (PARTITION BY client ORDER BY o_orderkey) AS upto, sum(mass) OVER (PARTITION BY client) AS total FROM c) SELECT client, min(o_orderkey) AS chosen FROM u WHERE upto > total // 3 GROUP BY client")
+def w4_cdf_inversion_whole(spark, sf):
+    """One row chosen for every client, where w4_cdf_inversion takes client 3."""
+    rows = read(spark, sf, "orders").select((F.col("o_custkey") % 25).alias("client"), "o_orderkey", F.round("o_totalprice").cast("long").alias("mass"))
+    upto = rows.withColumn("upto", F.sum("mass").over(W.partitionBy("client").orderBy("o_orderkey"))).withColumn("total", F.sum("mass").over(W.partitionBy("client")))
+    return upto.where(F.expr("upto > total div 3")).groupBy("client").agg(F.min("o_orderkey").alias("chosen"))
+
+
 @query("WITH s AS (SELECT row_number() OVER (ORDER BY c_nationkey) - 1 AS position, count(*) AS size FROM customer GROUP BY c_nationkey), t AS (SELECT *, sum(size) OVER () AS total FROM s), q AS (SELECT *, size * 97 // total AS base, size * 97 % total AS rest FROM t), r AS (SELECT *, row_number() OVER (ORDER BY rest DESC, position) AS rank, 97 - sum(base) OVER () AS spare FROM q) SELECT CAST(position AS INTEGER) AS position, size, CAST(base + CASE WHEN rank <= spare THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r")
 def w5_largest_remainder(spark, sf):
     sizes = read(spark, sf, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("size"))
@@ -415,6 +444,16 @@ def w7_running(spark, sf):
     return Rep.running(budgets(spark, sf), ["supplier"], "budget", "value")
 
 
+@query(ORACLE_SQL["w6_steps"].replace(BUDGET, ALL_BUDGETS))
+def w6_steps_whole(spark, sf):
+    return Rep.steps(all_budgets(spark, sf), ["supplier"], "budget", "value")
+
+
+@query(ORACLE_SQL["w7_running"].replace(BUDGET, ALL_BUDGETS))
+def w7_running_whole(spark, sf):
+    return Rep.running(all_budgets(spark, sf), ["supplier"], "budget", "value")
+
+
 @query("""WITH c AS (SELECT c_nationkey AS client, count(*) AS n, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS a FROM customer GROUP BY 1),
 t AS (SELECT *, least(sum(a) OVER () - a, sum(n - a) OVER () - (n - a)) AS left_over FROM c), v AS (SELECT *, CAST(2 * quantile_cont(n, 0.5) OVER () AS BIGINT) AS median2 FROM t WHERE left_over > 0)
 SELECT r AS role, client FROM (SELECT arg_min(client, (n, client)) AS smallest, arg_min(client, (abs(2 * n - median2), client)) AS median_size, arg_min(client, (-n, client)) AS largest, arg_min(client, (a / n, client)) AS min_group0_fraction, arg_min(client, (-(a / n), client)) AS max_group0_fraction, arg_min(client, (left_over, client)) AS min_surviving_smaller_group FROM v)
@@ -586,6 +625,11 @@ def a32_change_summary(spark, sf):
     return Rep.change_summary(Rep.pairs_over(budgets(spark, sf), ["supplier"], "budget", "value"), ["low_budget", "high_budget"])
 
 
+@query(ORACLE_SQL["a32_change_summary"].replace(BUDGET, ALL_BUDGETS))
+def a32_change_summary_whole(spark, sf):
+    return Rep.change_summary(Rep.pairs_over(all_budgets(spark, sf), ["supplier"], "budget", "value"), ["low_budget", "high_budget"])
+
+
 @query("SELECT s_suppkey AS id, 100 AS setup, s_suppkey % 9 AS fresh, s_suppkey % 4 AS method, s_suppkey % 9 - s_suppkey % 4 AS saving, CASE WHEN s_suppkey % 9 > s_suppkey % 4 THEN CAST(ceil(100 / (s_suppkey % 9 - s_suppkey % 4)) AS BIGINT) ELSE -1 END AS requests FROM supplier")
 def a33_break_even(spark, sf):
     s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(100).alias("setup"), (F.col("s_suppkey") % 9).alias("fresh"), (F.col("s_suppkey") % 4).alias("method"))
@@ -632,6 +676,12 @@ def t2_t6_canonical_order(spark, sf):
     return vectors(spark, sf).where("local_row < 3").select("client", "group_id", "local_row").orderBy("client", "group_id", "local_row")
 
 
+@query(ORACLE_SQL["t2_t6_canonical_order"].replace(" WHERE local_row < 3", ""))
+def t2_t6_canonical_order_whole(spark, sf):
+    """All rows sorted, where t2_t6_canonical_order takes three a client."""
+    return vectors(spark, sf).select("client", "group_id", "local_row").orderBy("client", "group_id", "local_row")
+
+
 @query("SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
 def u1_union_all(spark, sf):
     return read(spark, sf, "nation").select(F.col("n_nationkey").alias("k")).unionByName(read(spark, sf, "region").select(F.col("r_regionkey").alias("k")))
