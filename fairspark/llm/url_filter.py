@@ -45,14 +45,40 @@ def node_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), F.when(tail.startswith("/"), tail).otherwise(F.concat(F.lit("/"), tail))))
 
 
+def undotted(path: Column) -> Column:
+    """A path that begins with a slash, without its segments . and .. (which take the segment before them away)."""
+    parts = F.split(F.substring(path, 2, F.length(path)), "/", -1)
+
+    def add(out, i, part):
+        dots, last = part.isin(".", ".."), i == F.size(parts) - 1
+        held = F.when(part == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(out)
+        return F.concat(held, F.when(dots & last, F.array(F.lit(""))).when(dots, F.array().cast("array<string>")).otherwise(F.array(part)))
+
+    numbered = F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("part")))
+    kept = F.aggregate(numbered, F.array().cast("array<string>"), lambda out, x: add(out, x["i"], x["part"]))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """The URL that a reference on the page url means; null for schemes without ://, as in mailto:."""
+    own, path, rest = path_of(url), F.regexp_extract(to, r"^[^?#]*", 0), F.regexp_extract(to, r"^[^?#]*([\s\S]*)", 1)
+    folder = F.regexp_extract(own, r"^/(?:[\s\S]*/)?", 0)
+    full = F.when(path == "", F.when(own == "", F.lit("/")).otherwise(own)).when(path.startswith("/"), undotted(path))
+    full = full.otherwise(undotted(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)))
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*:"
+    out = F.when(to.rlike(scheme + "//"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.rlike(scheme) | to.startswith("#"), F.lit(None).cast("string"))
+    return out.otherwise(F.concat(F.lit("http://"), host_of(url), full, rest))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): from each page's node to that of its canonical link and of its meta refresh; relative targets only if they begin with a slash."""
+    """(a, b): from each page's node to that of its canonical link and of its meta refresh. Relative targets are resolved against
+    the page's own URL (a base tag is not read); of entities only that of & is decoded. OP4_SQL knows neither."""
     tag = {"canonical": r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", "refresh": r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""}
     where = {"canonical": r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", "refresh": r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""}
     targets = F.array(*[F.when(F.col("html").rlike(tag[k]), F.regexp_extract(F.regexp_extract("html", tag[k], 0), where[k], 1)) for k in tag])
     found = pages.select("url", F.explode(F.filter(targets, lambda x: x.isNotNull() & (x != ""))).alias("to"))
-    full = F.when(F.instr("to", F.lit("://")) > 0, F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).when(F.col("to").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), F.col("to")))
-    return found.select(node_of(F.col("url")).alias("a"), node_of(full).alias("b"))
+    to = F.regexp_replace("to", "&(?:amp|#0*38|#[xX]0*26);", "&")
+    return found.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("url"), to)).alias("b"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:

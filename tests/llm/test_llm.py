@@ -203,6 +203,20 @@ def test_url_rules_and_redirects(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0 and url_filter.filter_urls(pages).count() == len(rows)
 
 
+def test_link_targets(spark):
+    """Every form of a link leads to its page's node; a block spreads over chains of them."""
+    page = "http://h/d/e/a.html?x=1"
+    want = {
+        "page.html": "h/d/e/page.html", "../x": "h/d/x", "../../../x": "h/x", "./y?b=2#c": "h/d/e/y?b=2", "..": "h/d/", ".": "h/d/e/", "?p=1": "h/d/e/a.html?p=1", "/r/../s": "h/s", "//o/z": "o/z",
+        "http://o/p?a=1&amp;b=2": "o/p?a=1&b=2", "http://o/p?a=1&#38;b=2": "o/p?a=1&b=2", "http://o/p?a=1&#x26;b=2": "o/p?a=1&b=2", "q?u=http://o/": "h/d/e/q?u=http://o/", "mailto:a@b": None, "#top": None,
+    }
+    rows = [(i, page, f'<link rel="canonical" href="{t}">') for i, t in enumerate(want)] + [(90, "http://h", '<meta http-equiv="refresh" content="0; url=page.html">'), (91, None, '<link rel="canonical" href="x">')]
+    got = url_filter.link_edges(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1).orderBy("page_id")).collect()
+    assert [r["b"] for r in got] == [*want.values(), "h/page.html", None]
+    chain = [(1, "http://h/d/a", '<link rel="canonical" href="b?k=1&amp;l=2">'), (2, "http://h/d/b?k=1&l=2", '<link rel="canonical" href="http://x.net/">')]
+    assert by_id(url_filter.filter_urls(spark.createDataFrame(chain, "doc_id long, url string, html string").withColumnRenamed("doc_id", "page_id")).withColumnRenamed("page_id", "doc_id"), "verdict") == {1: ("block",), 2: ("block",)}
+
+
 def test_secrets(spark):
     key, hexa = "Zx9Zx9Zx9Zx9Zx9Zx9Zx9", "0123456789abcdef"
     texts = [
