@@ -9,10 +9,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, raw, table
+from .common import add_columns, raw, table, written
 
 _UPPER, _LETTERS, _SYMBOLS, _PUNCT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"#*$%&<>", b".,;:?"
 META_SLOTS = 64
@@ -78,28 +79,81 @@ def fit_view(x: np.ndarray, y: np.ndarray) -> View:
     return View(mean, scale, logistic(np.clip((x - mean) / scale, -8, 8), y))
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = 5, confident: float = 0.95, per_round: int = 500) -> tuple[tuple[View, View], float]:
+def surest(made: list[View], pool: tuple[np.ndarray, np.ndarray], ids: list, given: list[dict], confident: float, most: dict[float, int]) -> list[tuple[int, float, float, int]]:
+    """(view, label, sureness, index): each view's surest guesses of each label about ids that the other view wasn't given, an id once."""
+    out = []
+    for v in (0, 1):
+        p = 1 / (1 + np.exp(-made[v].raw(pool[v])))
+        for label, sure in ((1.0, p), (0.0, 1 - p)):
+            seen: set = set()
+            for i in np.argsort(-sure, kind="stable"):
+                if sure[i] < confident or len(seen) == most[label]:
+                    break
+                if ids[i] not in given[1 - v] and ids[i] not in seen:
+                    seen.add(ids[i])
+                    out.append((v, label, float(sure[i]), int(i)))
+    return out
+
+
+class ArrayPool:
+    """Unlabelled rows in arrays, one for each view."""
+
+    def __init__(self, views: tuple[np.ndarray, np.ndarray]):
+        self.views, self.ids = views, list(range(len(views[0])))
+
+    def picks(self, made: list[View], given: list[dict], confident: float, most: dict[float, int]) -> list[tuple[int, float, int, np.ndarray]]:
+        """(view, label, id, features of the other view)."""
+        return [(v, label, i, self.views[1 - v][i]) for v, label, _, i in surest(made, self.views, self.ids, given, confident, most)] if self.ids else []
+
+
+class TablePool:
+    """Unlabelled rows in a table (doc_id, __content, __meta); all are scored in each round, only the picks reach the driver."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def picks(self, made: list[View], given: list[dict], confident: float, most: dict[float, int]) -> list[tuple[int, float, int, np.ndarray]]:
+        known = [set(g) for g in given]
+
+        def run(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                ids, *both = (b.column(i).to_pylist() for i in range(3))
+                views = tuple(np.array(x) for x in both)
+                best = surest(made, views, ids, known, confident, most)
+                columns = [[x[0] for x in best], [x[1] for x in best], [x[2] for x in best], [ids[x[3]] for x in best], [both[1 - x[0]][x[3]] for x in best]]
+                types = (pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["v", "label", "sure", "doc_id", "x"])
+
+        found = self.rows.mapInArrow(run, "v int, label double, sure double, doc_id long, x array<double>")
+        found = found.groupBy("v", "label", "doc_id").agg(F.max(F.struct("sure", "x")).alias("m"))
+        place = F.row_number().over(W.partitionBy("v", "label").orderBy(F.col("m.sure").desc(), F.xxhash64("doc_id"), "doc_id"))
+        found = found.withColumn("r", place).where(F.col("r") <= max(most.values()))
+        found = found.where(F.col("r") <= F.when(F.col("label") == 1, most[1.0]).otherwise(most[0.0]))
+        return [(r["v"], r["label"], r["doc_id"], np.array(r["m"]["x"])) for r in found.orderBy("v", F.col("label").desc(), "r").collect()]
+
+
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray] | TablePool, rounds: int = 5, confident: float = 0.95, per_round: int = 500) -> tuple[tuple[View, View], float]:
     """Both views learn from four fifths of the labelled rows; for some rounds each hands its most confident guesses about the
     pool (per_round at most, in the proportion of the classes) to the other. The last fifth calibrates. Returns views and prior log odds."""
     held = np.arange(len(y)) % 5 == 4
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held = np.zeros(len(y), bool)
     rate = float(np.clip(y.mean(), 0.001, 0.999))
-    given: list[dict[int, float]] = [{}, {}]
+    given: list[dict[int, tuple[float, np.ndarray]]] = [{}, {}]
+    pool = ArrayPool(pool) if isinstance(pool, tuple) else pool
+    most = {1.0: math.ceil(per_round * rate), 0.0: math.ceil(per_round * (1 - rate))}
     made: list[View] = []
     for turn in range(rounds + 1):
         made = []
         for v in (0, 1):
-            at = np.fromiter(given[v], int, len(given[v]))
-            x = np.vstack([views[v][~held], pool[v][at]])
-            made.append(fit_view(x, np.concatenate([y[~held], np.fromiter(given[v].values(), float, len(at))])))
-        if turn == rounds or not len(pool[0]):
+            x = np.vstack([views[v][~held], *[x for _, x in given[v].values()]])
+            made.append(fit_view(x, np.concatenate([y[~held], [label for label, _ in given[v].values()]])))
+        if turn == rounds:
             break
-        for v in (0, 1):
-            p = 1 / (1 + np.exp(-made[v].raw(pool[v])))
-            for label, sure, most in ((1.0, p, math.ceil(per_round * rate)), (0.0, 1 - p, math.ceil(per_round * (1 - rate)))):
-                best = [int(i) for i in np.argsort(-sure, kind="stable") if sure[i] >= confident and int(i) not in given[1 - v]][:most]
-                given[1 - v].update(dict.fromkeys(best, label))
+        for v, label, i, x in pool.picks(made, given, confident, most):
+            given[1 - v][i] = (label, x)
     calibrate = held if held.any() else np.ones(len(y), bool)
     for v in (0, 1):
         line = logistic(made[v].raw(views[v][calibrate])[:, None], y[calibrate], penalty=0.01)
@@ -127,32 +181,32 @@ class CoTrained:
         return 1 / (1 + np.exp(-(self.views[0].log_odds(content) + self.views[1].log_odds(meta) - self.prior)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000, pool_docs: int = 4000, rounds: int = 5) -> CoTrained:
-    """Learns from at most sample_docs labelled documents of each class and a pool of pool_docs unlabelled ones, in the order
-    of a hash of doc_id; only their features reach the driver. Without both classes the model gives the one there is (good, if none)."""
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000, pool_docs: int | None = None, rounds: int = 5) -> CoTrained:
+    """Learns from at most sample_docs labelled documents of each class, in the order of a hash of doc_id, and from all
+    unlabelled ones (the first pool_docs, if given): each round scores them with both views. Only the features of the labelled
+    and of the rows picked reach the driver. Without both classes the model gives the one there is (good, if none)."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__y"))
     counts = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
         return CoTrained(None, 0.0 if not counts else -8.0 if counts.get(0) else 8.0)
     first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    ids = docs.select("doc_id").where("doc_id is not null")
     some = [first(known.where(F.col("__y") == k), sample_docs) for k in (0, 1)]
-    others = first(ids.join(known, "doc_id", "left_anti"), pool_docs).withColumn("__y", F.lit(-1))
-    picked = F.broadcast(some[0].unionAll(some[1]).unionAll(others.select("doc_id", F.col("__y").cast(known.schema["__y"].dataType))))  # bounded by the limits
+    picked = F.broadcast(some[0].unionAll(some[1]))  # bounded by the limits
 
     def make(b: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array(x, pa.list_(pa.float64())) for x in _views(b)]
 
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").join(picked, "doc_id")
-    got = add_columns(rows, _VIEWS, make, keep=["doc_id", "__y"]).toPandas().sort_values("doc_id").drop_duplicates("doc_id")
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null")
+    features = written(add_columns(rows, _VIEWS, make, keep=["doc_id"]))
+    others = features.join(known, "doc_id", "left_anti").withColumn("doc_id", F.col("doc_id").cast("long"))
+    pool = TablePool(written(others if pool_docs is None else first(others, pool_docs)))
+    got = features.join(picked, "doc_id").toPandas().sort_values("doc_id").drop_duplicates("doc_id")
     order = np.argsort([xxhash.xxh3_64_intdigest(str(i)) for i in got["doc_id"]])
     got = got.iloc[order]
     y, content, meta = got["__y"].to_numpy(), np.array(got["__content"].tolist()), np.array(got["__meta"].tolist())
-    lab = y >= 0
-    if len(np.unique(y[lab])) < 2:
-        return CoTrained(None, 8.0 if not lab.any() or y[lab].max() == 1 else -8.0)
-    width = lambda x: x.reshape(-1, x.shape[-1])
-    views, sample_prior = co_train((width(content[lab]), width(meta[lab])), y[lab].astype(float), (width(content[~lab]), width(meta[~lab])), rounds)
+    if len(np.unique(y)) < 2:
+        return CoTrained(None, 8.0 if not len(y) or y.max() == 1 else -8.0)
+    views, sample_prior = co_train((content, meta), y.astype(float), pool, rounds)
     shift = math.log(counts[1] / counts[0]) - sample_prior  # from the sample's share of classes to that of all labels
     for v in views:
         v.shift += shift

@@ -404,6 +404,28 @@ def test_views_teach_each_other():
     assert right[1] >= right[0] and right[1] > 0.9
 
 
+def test_cotrained_pool_is_the_whole_corpus(spark, monkeypatch):
+    """All unlabelled documents are scored in a round, and the surest of all are taken, an id once."""
+    rng = random.Random(2)
+    rows = [(i, prose(rng, rng.randint(1, 12)), "en", f"s{i % 3}", 1) for i in range(4300)]
+    docs = spark.createDataFrame([*rows, rows[-1]], SCHEMA).repartition(6)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    pools, real = [], cotrain.co_train
+    monkeypatch.setattr(cotrain, "co_train", lambda views, y, pool, rounds: pools.append(pool) or real(views, y, pool, 1))
+    cotrain.train(docs, labels)
+    held = pools[0].rows.collect()
+    assert {r["doc_id"] for r in held} == set(range(200, 4300))
+    views = tuple(np.array([r[c] for r in held]) for c in ("__content", "__meta"))
+    made = [cotrain.fit_view(x, np.arange(len(x)) % 2.0) for x in views]
+    given, most = [{200: None, 201: None}, {202: None}], {1.0: 30, 0.0: 20}
+    got = pools[0].picks(made, given, 0.3, most)
+    for v, label in ((0, 1.0), (0, 0.0), (1, 1.0), (1, 0.0)):
+        p = 1 / (1 + np.exp(-made[v].raw(views[v])))
+        sure = {r["doc_id"]: s for r, s in zip(held, p if label else 1 - p, strict=True) if s >= 0.3 and r["doc_id"] not in given[1 - v]}
+        ids = [i for w, k, i, _ in got if (w, k) == (v, label)]
+        assert len(set(ids)) == len(ids) == most[label] and np.allclose(sorted(sure[i] for i in ids), sorted(sure.values())[-most[label] :])
+
+
 def test_pipeline_stages(spark, tmp_path, rows):
     import corpus_pipeline
 
