@@ -1,5 +1,6 @@
 """A second, scalar implementation of the numerical map in rationals, written from its contract; shares no code with the package."""
 
+import heapq
 from fractions import Fraction as Q
 from math import gcd, lcm
 
@@ -211,3 +212,37 @@ def centralized(rows, seed, k, bits=12, clip=8.0):
     points = [(c, i, g, tuple(on_grid(v, bits, clip) / 2**bits for v in x)) for c, i, g, x in sorted(rows)]
     sizes = [sum(1 for p in points if p[2] == g) for g in range(2)]
     return [points[i][3] for i in seeding([p[3] for p in points], [Q(1, sizes[p[2]]) for p in points], k, stream(seed, "centralized"))]
+
+
+def best_first(cells, sizes, tolerance=Q(1, 100), limit=20000):
+    """(lower, upper) around the least largest group cost of one-dimensional centers at fixed cells (cells[g][j]: values), T5.
+
+    Branch and bound over boxes of centers, the box of the smallest bound first. An optimum lies between the groups' means of
+    each cell; a group's bound puts every center at the place in the box that is best for it alone.
+    """
+    groups, k = range(len(cells)), len(cells[0])
+    n = [[len(c) for c in row] for row in cells]
+    mean = [[Q(sum(c), len(c)) if c else None for c in row] for row in cells]
+    inner = [sum((x - mean[g][j]) ** 2 for j in range(k) for x in cells[g][j]) for g in groups]
+    cost = lambda g, at: (inner[g] + sum(n[g][j] * (mean[g][j] - at(g, j)) ** 2 for j in range(k) if n[g][j])) / sizes[g]
+
+    def bounds(box):
+        nearest = lambda g, j: min(max(mean[g][j], box[j][0]), box[j][1])
+        return max(cost(g, nearest) for g in groups), max(cost(g, lambda _, j: sum(box[j]) / 2) for g in groups)
+
+    hull = [[mean[g][j] for g in groups if n[g][j]] or [Q(0)] for j in range(k)]
+    start = tuple((min(h), max(h)) for h in hull)
+    low, upper = bounds(start)
+    queue = [(low, start)]
+    for _ in range(limit):
+        low, box = heapq.heappop(queue)
+        if upper - low <= tolerance:
+            return low, upper
+        j = max(range(k), key=lambda j: box[j][1] - box[j][0])
+        mid = sum(box[j]) / 2
+        for part in ((box[j][0], mid), (mid, box[j][1])):
+            child = (*box[:j], part, *box[j + 1 :])
+            bound, value = bounds(child)
+            upper = min(upper, value)
+            heapq.heappush(queue, (bound, child))
+    raise AssertionError("the bracket stays wider than the tolerance")

@@ -259,6 +259,16 @@ def test_frank_wolfe_closes_the_gap():
     assert 0 <= info["gap"] < info["phi"] / 10
 
 
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_frank_wolfe_beside_branch_and_bound(seed):
+    """The update's cost and its bound lie around the optimum that branch and bound brackets."""
+    rng = random.Random(seed)
+    cells = [[[rng.randint(-20, 20) for _ in range(4)] for _ in range(2)] for _ in range(4)]
+    _, info = U.frank_wolfe([(0.0,), (1.0,)], stats_of(cells), (8,) * 4, Settings(2, groups=4, steps=12, line_bits=6, grid=Grid(0)))
+    lower, upper = oracle.best_first(cells, (8,) * 4)
+    assert info["dual"] <= upper and lower <= info["phi"] <= upper * Q(11, 10)
+
+
 def test_integer_statistics(spark):
     rows = federation(20)
     grid = Grid()
