@@ -1,12 +1,14 @@
 """Operator 5, secret scans with multipart credential linking.
 
-Patterns give spans of certain secrets and of weak candidates (identifiers, keys, endpoints). An interval join by cells of
-the text pairs each weak candidate with the parts near it; it is reported only if complementary parts stand in its scope.
+Patterns give spans of certain secrets and of weak candidates (identifiers, keys, endpoints). Where they overlap, one part
+remains: certain secrets come before identifiers, these before endpoints, these before keys. An interval join by cells of
+the text pairs each weak candidate with the other parts near it; it is reported only if complementary ones stand in its scope.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -17,6 +19,8 @@ ACCESS, HEX = "AKIA[A-Z0-9]{14,}", "[0-9a-f]{16,}"
 #: Weak kinds: shorter or other identifiers, long mixed runs, URLs and addresses.
 IDENT, KEY, ENDPOINT = "(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{8,}", "[A-Za-z0-9+/_-]{20,}", r"""(?:[a-z][a-z0-9+.-]{0,15}://[^\x20\x09-\x0D"'<>]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?)"""
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
+#: Of overlapping weak candidates the first kind remains.
+PRECEDENCE = ("ident", "endpoint", "key")
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 #: A cheap condition without which a pattern cannot match.
 _HINT = {IDENT: "AKIA|ASIA|AROA|AIDA", ENDPOINT: r"[a-z0-9+.-]://|[0-9]\.[0-9]"}
@@ -47,35 +51,54 @@ def joined(column: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(column), lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"], s["end"])), ",")
 
 
+def _apart(parts: DataFrame) -> DataFrame:
+    """The parts (th, tl, start, rank, end) without those that overlap a part of higher precedence that stays.
+
+    Two running bounds in the order of the starts settle a kind at a time: how far the parts before reach, and where the
+    next one begins. The work is that of sorting the spans of one text.
+    """
+    before = W.partitionBy("th", "tl").orderBy("start", "order").rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy("th", "tl").orderBy(F.desc("start"), F.desc("order")).rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("order", F.element_at(F.array(*[F.lit(PRECEDENCE.index(k) if k in PRECEDENCE else -1) for k in KINDS]), F.col("rank") + 1))
+    for k in range(len(PRECEDENCE)):
+        first = F.col("order") < k
+        reach, following = F.max(F.when(first, F.col("end"))).over(before), F.min(F.when(first, F.col("start"))).over(after)
+        parts = parts.withColumn("reach", reach).withColumn("following", following)
+        overlaps = F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("following") < F.col("end"), F.lit(False))
+        parts = parts.where((F.col("order") != k) | ~overlaps).drop("reach", "following")
+    return parts.drop("order")
+
+
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", scope: int = 200) -> DataFrame:
     """One row per row of docs: doc_id, base and added, both arrays of (start, rank, end) with rank an index into KINDS.
 
     base holds assignments with a value of 12 characters or more, access identifiers of 18 or more, hex runs of 16 or more.
-    added holds weak candidates outside base spans whose complementary parts lie within `scope` code points: an identifier
-    needs a secret (assign, hex or key); a key (20 characters or more, with letter and digit) an identifier or an endpoint;
-    an endpoint both an identifier and a secret. A null or empty text has none; texts that are equal give equal spans, so
-    repeated rows are linked once; an empty table returns none; other columns are neither read nor returned.
+    added holds weak candidates, none of which overlaps a base span or another, whose complementary parts lie within `scope`
+    code points: an identifier needs a secret (assign, hex or key); a key (20 characters or more, with letter and digit) an
+    identifier or an endpoint; an endpoint both an identifier and a secret. No part complements itself. A null or empty text
+    has none; texts that are equal give equal spans, so repeated rows are linked once; an empty table returns none; other
+    columns are neither read nor returned.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).select("doc_id", text.alias("text"))
     mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     base = F.concat(spans(F.col("text"), ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= 12), spans(F.col("text"), ACCESS, 1), spans(F.col("text"), HEX, 2))
     weak = F.concat(spans(F.col("text"), IDENT, 3), spans(F.col("text"), KEY, 4, mixed), spans(F.col("text"), ENDPOINT, 5))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), F.length("text").alias("tl"), base.alias("base"), weak.alias("weak"))
-    free = F.filter("weak", lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    rows = cut(rows.withColumn("weak", free))
-    parts = rows.where("size(weak) > 0 and size(weak) + size(base) > 1").select("th", "tl", "base", "weak").dropDuplicates(["th", "tl"])
-    parts = parts.select("th", "tl", F.explode(F.concat("base", "weak")).alias("s")).select("th", "tl", "s.*")
+    rows = cut(rows.select("doc_id", F.xxhash64("text").alias("th"), F.length("text").alias("tl"), base.alias("base"), weak.alias("weak")))
+    linkable = F.expr("size(weak) > 0 and size(weak) + size(base) > 1")
+    parts = rows.where(linkable).select("th", "tl", "base", "weak").dropDuplicates(["th", "tl"])
+    parts = _apart(parts.select("th", "tl", F.explode(F.concat("base", "weak")).alias("s")).select("th", "tl", "s.*"))
     cell = lambda c: F.floor(F.col(c) / scope)
     data = parts.select("th", "tl", F.explode(F.sequence(cell("start"), cell("end"))).alias("cell"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("rank").alias("r2"))
     asks = parts.where("rank >= 3").select("*", F.explode(F.sequence(cell("start") - 1, cell("end") + 1)).alias("cell"))
-    near = asks.join(data, ["th", "tl", "cell"]).where((F.col("s2") - F.col("end") <= scope) & (F.col("start") - F.col("e2") <= scope))
+    gap = F.greatest(F.col("s2") - F.col("end"), F.col("start") - F.col("e2"))  # negative where two spans overlap, as a span does itself
+    near = asks.join(data, ["th", "tl", "cell"]).where((gap >= 0) & (gap <= scope))
     flags = near.groupBy("th", "tl", "start", "rank", "end").agg(F.max(F.col("r2").isin(1, 3)).alias("ident"), F.max(F.col("r2").isin(0, 2, 4)).alias("secret"), F.max(F.col("r2") == 5).alias("endpoint"))
     linked = flags.where((F.col("rank") == 3) & F.col("secret") | (F.col("rank") == 4) & (F.col("ident") | F.col("endpoint")) | (F.col("rank") == 5) & F.col("ident") & F.col("secret"))
     added = linked.groupBy("th", "tl").agg(F.collect_list(F.struct("start", "rank", "end")).alias("added"))
     without = F.array().cast(_SPAN)
-    linkable = rows.where("size(weak) > 0").join(added, ["th", "tl"], "left").select("doc_id", "base", F.coalesce("added", without).alias("added"))
-    return rows.where("size(weak) = 0").select("doc_id", "base", without.alias("added")).unionAll(linkable)
+    found = rows.where(linkable).join(added, ["th", "tl"], "left").select("doc_id", "base", F.coalesce("added", without).alias("added"))
+    return rows.where(~linkable).select("doc_id", "base", without.alias("added")).unionAll(found)
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
@@ -91,6 +114,10 @@ def _sql_spans(name: str, pattern: str, rank: int, good: str) -> str:
     FROM (SELECT doc_id, b, f, unnest(f) AS m, unnest(range(1, len(f) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '{p}') AS b, regexp_extract_all(text, '{p}') AS f FROM d))) WHERE {good})"""
 
 
+def _sql_apart(name: str, kind: str, first: str) -> str:
+    return f"""{name} AS (SELECT * FROM {kind} w WHERE NOT EXISTS (SELECT 1 FROM {first} b WHERE b.doc_id = w.doc_id AND b.start < w."end" AND w.start < b."end"))"""
+
+
 _TRUE = "true"
 _MIXED = "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')"
 _ASSIGN_SQL = ASSIGN.replace("'", "''")
@@ -99,10 +126,12 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 {_sql_spans('s0', ASSIGN, 0, f"length(regexp_extract(m, '{_ASSIGN_SQL}', 1)) >= 12")},
 {_sql_spans('s1', ACCESS, 1, _TRUE)}, {_sql_spans('s2', HEX, 2, _TRUE)}, {_sql_spans('s3', IDENT, 3, _TRUE)}, {_sql_spans('s4', KEY, 4, _MIXED)}, {_sql_spans('s5', ENDPOINT, 5, _TRUE)},
 base AS (FROM s0 UNION ALL FROM s1 UNION ALL FROM s2),
-weak AS (SELECT * FROM (FROM s3 UNION ALL FROM s4 UNION ALL FROM s5) w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.start < w."end" AND w.start < b."end")),
-part AS (FROM base UNION ALL FROM weak),
+{_sql_apart('w3', 's3', 'base')}, f3 AS (FROM base UNION ALL FROM w3),
+{_sql_apart('w5', 's5', 'f3')}, f5 AS (FROM f3 UNION ALL FROM w5),
+{_sql_apart('w4', 's4', 'f5')}, part AS (FROM f5 UNION ALL FROM w4),
+weak AS (FROM part WHERE rank >= 3),
 near AS (SELECT w.doc_id, w.rank, w.start, w."end", bool_or(p.rank IN (1, 3)) AS ident, bool_or(p.rank IN (0, 2, 4)) AS secret, bool_or(p.rank = 5) AS endpoint
-         FROM weak w JOIN part p ON p.doc_id = w.doc_id AND p.start - w."end" <= 200 AND w.start - p."end" <= 200 GROUP BY ALL),
+         FROM weak w JOIN part p ON p.doc_id = w.doc_id AND greatest(p.start - w."end", w.start - p."end") BETWEEN 0 AND 200 GROUP BY ALL),
 full_list AS (SELECT doc_id, rank, start, "end" FROM base UNION ALL SELECT doc_id, rank, start, "end" FROM near
          WHERE rank = 3 AND secret OR rank = 4 AND (ident OR endpoint) OR rank = 5 AND ident AND secret),
 k AS (SELECT *, ['assign', 'access', 'hex', 'ident', 'key', 'endpoint'][rank + 1] || ':' || start || ':' || "end" AS s FROM full_list),

@@ -246,6 +246,49 @@ def test_secrets_finds_every_scheme(spark):
         assert kinds == (["ident", "key", "endpoint"] if i % 2 == 0 else ["key"]), t
 
 
+def linked_by_hand(text, scope=200):
+    """The weak spans that complementary parts near them support: pair by pair, in the order of precedence."""
+    mixed = lambda m: re.search("[0-9]", m) and re.search("[A-Za-z]", m)
+    find = lambda p, good=lambda m: True, flags=0: [(m.start(), m.end()) for m in re.finditer(p, text, flags) if good(m[0])]
+    assign = [(m.start(), m.end()) for m in re.finditer(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[1]) >= 12]
+    parts = [(k, *x) for k, found in (("secret", assign), ("ident", find("AKIA[A-Z0-9]{14,}")), ("secret", find("[0-9a-f]{16,}"))) for x in found]
+    weak = []
+    for kind, pattern, good in (("ident", secrets.IDENT, bool), ("endpoint", secrets.ENDPOINT, bool), ("key", secrets.KEY, mixed)):
+        for s, e in find(pattern, good):
+            if all(e <= s2 or e2 <= s for _, s2, e2 in parts + weak):
+                weak.append((kind, s, e))
+    out = []
+    for kind, s, e in weak:
+        near = {"secret" if k == "key" else k for k, s2, e2 in parts + weak if (s2 >= e or e2 <= s) and max(s2 - e, s - e2) <= scope}
+        if {"ident": "secret" in near, "key": bool(near & {"ident", "endpoint"}), "endpoint": {"ident", "secret"} <= near}[kind]:
+            out.append((s, kind, e))
+    return sorted(out)
+
+
+def test_no_part_complements_itself(spark):
+    triple = "id ASIAABCDEFGHIJ123456 key Zx9Zx9Zx9Zx9Zx9Zx9Zx9 at https://host/x"
+    texts = ["see https://example.com/articles/2024-some-long-slug for more", "id ASIAABCDEFGHIJ123456 alone", triple, "https://h/?id=ASIAABCDEFGHIJ123456&s=Zx9Zx9Zx9Zx9Zx9Zx9Zx9", "ftp://Zx9Zx9Zx9Zx9Zx9Zx9Zx9@h and 10.0.0.1"]
+    rng = random.Random(8)
+    pieces = ["ASIABBBBBBBB", "AKIA" + "C" * 9, "AKIA" + "D" * 15, "Zx9Zx9Zx9Zx9Zx9Zx9Zx9", "0123456789abcdef01", "https://a.b/c", "s3://b/" + "k1" * 12, "10.0.0.1:80", "token=" + "q" * 13, "word", "/", "=", "x" * 150, "\u00e9" * 60]
+    texts += ["".join(rng.choice(pieces) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randint(1, 14))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(secrets.scan(df).select("doc_id", secrets.joined(F.col("added")).alias("a")), "a")
+    assert got[0] == got[1] == ("",) and [x.split(":")[0] for x in got[2][0].split(",")] == ["ident", "key", "endpoint"] and got[3][0].startswith("ident") and got[4] == ("",)
+    for i, t in enumerate(texts):
+        assert got[i][0] == ",".join(f"{k}:{s}:{e}" for s, k, e in linked_by_hand(t)), t
+    assert sum(bool(x[0]) for x in got.values()) > 50
+
+
+def test_a_document_counts_once_for_a_line(spark):
+    """Ten rows of one id are one document; ten ids, or ten rows without id, are ten."""
+    rows = [(1, "same id\nown")] * 10 + [(100 + i, "many ids") for i in range(10)] + [(None, "no ids")] * 10 + [(200 + i, "nine and repeats") for i in range(9)] + [(200, "nine and repeats\nx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for limit in (10**6, 0):
+        got = sorted({(r["text"], r["n_dropped"]) for r in lines.dedup_lines(df, broadcast_limit=limit, id_column="doc_id").collect()})
+        assert got == [("", 1), ("nine and repeats", 0), ("nine and repeats\nx", 0), ("same id\nown", 0)]
+    assert ("own", 1) not in {(r["text"], r["n_dropped"]) for r in lines.dedup_lines(df).collect()} and lines.dedup_lines(df).where("n_dropped > 0").count() == 40
+
+
 def test_mixing(docs, none, rows):
     got = mixing.mix(docs, docs_per_bucket=8).collect()
     assert len(got) == len(rows)
