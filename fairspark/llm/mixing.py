@@ -94,21 +94,42 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 
 def op8_mix(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    place = lambda turn: F.round(F.get(F.filter("readings", lambda r: r["turn"] == turn), F.lit(0))["position"], 9)
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", place(0).alias("position"), place(1).alias("second_position"))
 
 
-OP8_SQL = """
+def _sql_inverse(share: str, knots: Sequence[tuple[float, float]]) -> str:
+    """The closed form of inverse_demand: a quadratic, or a line, on each piece of the schedule."""
+    pieces = list(zip(knots, knots[1:], strict=False))
+    areas = [(t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in pieces]
+    cases, done = "", 0.0
+    for i, ((t0, w0), (t1, w1)) in enumerate(pieces):
+        slope, left = (w1 - w0) / (t1 - t0), f"greatest({share} * {sum(areas)!r}::DOUBLE - {done!r}::DOUBLE, 0::DOUBLE)"
+        step = f"(sqrt(greatest({w0 * w0!r}::DOUBLE + {2 * slope!r}::DOUBLE * {left}, 0::DOUBLE)) - {w0!r}::DOUBLE) / {slope!r}::DOUBLE" if slope else f"{left} / {w0!r}::DOUBLE"
+        done += areas[i]
+        cases += f" WHEN {share} <= {done / sum(areas)!r}::DOUBLE THEN {t0!r}::DOUBLE + {step}" if i + 1 < len(pieces) else f" ELSE {t0!r}::DOUBLE + {step}"
+    return f"least(greatest(CASE WHEN {share} IS NULL THEN NULL{cases} END, {knots[0][0]!r}::DOUBLE), {knots[-1][0]!r}::DOUBLE)"
+
+
+def _sql_place(turn: int) -> str:
+    kinds = " ".join(f"WHEN {k} THEN {_sql_inverse(f'((start + {turn} * source_size) / target)', knots)}" for k, knots in enumerate(SCHEDULES))
+    return f"CASE WHEN w{turn} > 0 THEN round(CASE kind {kinds} END, 9) END"
+
+
+OP8_SQL = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
                   md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
-w AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1]::DOUBLE AS w, (2 * source_size)::DOUBLE AS cap FROM s),
+n AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) AS kind FROM s),
+w AS (SELECT *, [5.0, 2.0, 1.0][kind + 1]::DOUBLE AS w, (2 * source_size)::DOUBLE AS cap FROM n),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER o AS k
       FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
 v AS (SELECT arg_min(level, k) AS level FROM l WHERE level * w <= cap),
-t AS (SELECT source, source_size, coalesce(least(cap, v.level * w), cap) AS target FROM l LEFT JOIN v ON true),
-r AS (SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(least(greatest(floor(target) - start, 0), size) + least(greatest(floor(target) - start - source_size, 0), size) AS BIGINT) AS taken FROM r
+t AS (SELECT source, source_size, kind, coalesce(least(cap, v.level * w), cap) AS target FROM l LEFT JOIN v ON true),
+r AS (SELECT doc_id, size, source_size, target, kind, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, least(greatest(floor(target) - start, 0), size) AS w0, least(greatest(floor(target) - start - source_size, 0), size) AS w1 FROM r)
+SELECT doc_id, size, source_size, target, CAST(w0 + w1 AS BIGINT) AS taken, {_sql_place(0)} AS position, {_sql_place(1)} AS second_position FROM k
 """
