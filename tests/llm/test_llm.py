@@ -182,7 +182,28 @@ def test_host_rates_are_shrunk(spark):
     rows = [(i, good if i % 10 else bad, "good") for i in range(200)] + [(300 + i, bad if i < 90 else good, "bad") for i in range(100)] + [(500, bad, "tiny"), (501, good, "tiny2"), (502, good, None)]
     got = {r["doc_id"]: r for r in host_rules.host_filter(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[1]["kept"] and not got[399]["kept"] and not got[399]["base_failed"]
-    assert 0.09 < got[0]["host_rate"] < 0.15 and got[500]["host_rate"] < 0.95
+    assert 0.09 < got[0]["host_rates"]["short"] < 0.15 and got[500]["host_rates"]["short"] < 0.95
+
+
+def test_every_rule_condemns_hosts(spark):
+    """One host stands out by each rule and loses its good documents too; many hosts that differ by chance alone lose none."""
+    rng = random.Random(6)
+    good = lambda: "\n".join(" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(12)) for _ in range(6))
+    ways = {"short": lambda: "too short", "repetitive": lambda: "a bcd efgh " * 40, "symbols": lambda: good() + " #|#" * 30, "dup_lines": lambda: good() + "\none more line" * 6, "word_length": lambda: "x y " * 60 + good()[:60]}
+    rows = [(f"host{i % 40}", good() if rng.random() > 0.1 else rng.choice(list(ways.values()))()) for i in range(1600)]
+    rows += [(way, make() if i < 35 else good()) for way, make in ways.items() for i in range(40)] + [("small", "too short")]
+    df = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    for most in (1000, 5):
+        got = host_rules.host_filter(df, broadcast_hosts=most).collect()
+        assert len(got) == len(rows)
+        verdict = {r["host"]: set(filter(None, r["host_rules"].split(","))) for r in got}
+        assert all(way in verdict[way] for way in ways) and not any(v for h, v in verdict.items() if h.startswith("host")) and not verdict["small"]
+        assert not any(r["kept"] for r in got if r["host"] in ways) and any(not r["base_failed"] for r in got if r["host"] in ways)
+        assert all(r["kept"] != r["base_failed"] for r in got if r["host"].startswith("host"))
+    counts = Counter((h, t == "too short") for h, t in rows)
+    mean = np.mean([counts[h, True] / (counts[h, True] + counts[h, False]) for h in {h for h, _ in rows}])
+    by_host = {r["host"]: r["host_rates"]["short"] for r in got}
+    assert mean < by_host["small"] < 0.75 and by_host["short"] > 0.75
 
 
 def test_url_rules_and_redirects(spark):
