@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,6 @@ from pyspark.sql import types as T
 from .common import add_columns, raw, table, written
 
 _UPPER, _LETTERS, _SYMBOLS, _PUNCT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"#*$%&<>", b".,;:?"
-META_SLOTS = 64
 
 
 def content_view(text: bytes | None) -> list[float]:
@@ -34,13 +35,27 @@ def content_view(text: bytes | None) -> list[float]:
     ]
 
 
-def metadata_view(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
-    """Language and source, folded into slots, and the length as stored (its logarithm in steps)."""
-    out = [0.0] * (META_SLOTS + 17)
-    for kind, value in (("lang", lang), ("source", source)):
-        out[xxhash.xxh3_64_intdigest(f"{kind}={value}") % META_SLOTS] = 1.0
-    out[META_SLOTS + (16 if n_chars is None or n_chars < 0 else min(15, int(math.log2(n_chars + 1))))] = 1.0
-    return out
+@dataclass
+class Metadata:
+    """Features of language and source, each name its own, and of the length as stored (its logarithm in steps)."""
+
+    names: dict[tuple[str, str | None], int]
+
+    @classmethod
+    def of(cls, langs: Sequence, sources: Sequence, least: int = 5, most_names: int = 500) -> Metadata:
+        """The names that `least` rows or more hold, the most frequent first, most_names at most; all others share one feature a kind."""
+        counts = Counter([("lang", x) for x in langs]) + Counter([("source", x) for x in sources])
+        frequent = sorted((x for x in counts.items() if x[1] >= least), key=lambda x: (-x[1], x[0][0], x[0][1] is None, x[0][1] or ""))
+        return cls({name: i for i, (name, _) in enumerate(frequent[:most_names])})
+
+    def view(self, langs: Sequence, sources: Sequence, lengths: Sequence) -> np.ndarray:
+        n = len(self.names)
+        out = np.zeros((len(langs), n + 19))
+        rows = np.arange(len(langs))
+        out[rows, [self.names.get(("lang", x), n) for x in langs]] = 1.0
+        out[rows, [self.names.get(("source", x), n + 1) for x in sources]] = 1.0
+        out[rows, [n + 2 + (16 if x is None or x < 0 else min(15, int(math.log2(x + 1)))) for x in lengths]] = 1.0
+        return out
 
 
 @dataclass
@@ -79,14 +94,15 @@ def fit_view(x: np.ndarray, y: np.ndarray) -> View:
     return View(mean, scale, logistic(np.clip((x - mean) / scale, -8, 8), y))
 
 
-def surest(made: list[View], pool: tuple[np.ndarray, np.ndarray], ids: list, given: list[dict], confident: float, most: dict[float, int]) -> list[tuple[int, float, float, int]]:
-    """(view, label, sureness, index): each view's surest guesses of each label about ids that the other view wasn't given, an id once."""
-    out = []
+def surest(made: list[View], pool: tuple[np.ndarray, np.ndarray], ids: list, given: list[dict], confident: float, most: dict[float, int], prior: float = 0.0, order: np.ndarray | None = None) -> list[tuple[int, float, float, int]]:
+    """(view, label, sureness, index): each view's surest guesses of each label about ids that the other view wasn't given, an id once.
+    Sureness is the calibrated probability; prior: log odds to add, from the sample's classes to those of the whole; order decides among equally sure ones."""
+    out, order = [], np.arange(len(ids)) if order is None else order
     for v in (0, 1):
-        p = 1 / (1 + np.exp(-made[v].raw(pool[v])))
+        p = 1 / (1 + np.exp(-(made[v].log_odds(pool[v]) + prior)))
         for label, sure in ((1.0, p), (0.0, 1 - p)):
             seen: set = set()
-            for i in np.argsort(-sure, kind="stable"):
+            for i in np.lexsort((order, -sure)):
                 if sure[i] < confident or len(seen) == most[label]:
                     break
                 if ids[i] not in given[1 - v] and ids[i] not in seen:
@@ -101,32 +117,33 @@ class ArrayPool:
     def __init__(self, views: tuple[np.ndarray, np.ndarray]):
         self.views, self.ids = views, list(range(len(views[0])))
 
-    def picks(self, made: list[View], given: list[dict], confident: float, most: dict[float, int]) -> list[tuple[int, float, int, np.ndarray]]:
+    def picks(self, made: list[View], given: list[dict], confident: float, most: dict[float, int], prior: float = 0.0) -> list[tuple[int, float, int, np.ndarray]]:
         """(view, label, id, features of the other view)."""
-        return [(v, label, i, self.views[1 - v][i]) for v, label, _, i in surest(made, self.views, self.ids, given, confident, most)] if self.ids else []
+        return [(v, label, i, self.views[1 - v][i]) for v, label, _, i in surest(made, self.views, self.ids, given, confident, most, prior)] if self.ids else []
 
 
 class TablePool:
-    """Unlabelled rows in a table (doc_id, __content, __meta); all are scored in each round, only the picks reach the driver."""
+    """Unlabelled rows in a table (doc_id, __content, lang, source, n_chars); all are scored in each round, only the picks reach the driver."""
 
-    def __init__(self, rows: DataFrame):
-        self.rows = rows
+    def __init__(self, rows: DataFrame, metadata: Metadata):
+        self.rows, self.metadata = rows, metadata
 
-    def picks(self, made: list[View], given: list[dict], confident: float, most: dict[float, int]) -> list[tuple[int, float, int, np.ndarray]]:
-        known = [set(g) for g in given]
+    def picks(self, made: list[View], given: list[dict], confident: float, most: dict[float, int], prior: float = 0.0) -> list[tuple[int, float, int, np.ndarray]]:
+        known, metadata = [set(g) for g in given], self.metadata
 
         def run(batches):
             for b in batches:
                 if not b.num_rows:
                     continue
-                ids, *both = (b.column(i).to_pylist() for i in range(3))
-                views = tuple(np.array(x) for x in both)
-                best = surest(made, views, ids, known, confident, most)
-                columns = [[x[0] for x in best], [x[1] for x in best], [x[2] for x in best], [ids[x[3]] for x in best], [both[1 - x[0]][x[3]] for x in best]]
+                ids, order, content, *meta = (b.column(i).to_pylist() for i in range(6))
+                views = np.array(content), metadata.view(*meta)
+                best = surest(made, views, ids, known, confident, most, prior, np.array(order))
+                columns = [[x[0] for x in best], [x[1] for x in best], [x[2] for x in best], [ids[x[3]] for x in best], [views[1 - x[0]][x[3]].tolist() for x in best]]
                 types = (pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["v", "label", "sure", "doc_id", "x"])
 
-        found = self.rows.mapInArrow(run, "v int, label double, sure double, doc_id long, x array<double>")
+        rows = self.rows.select("doc_id", F.xxhash64("doc_id"), "__content", "lang", "source", "n_chars")
+        found = rows.mapInArrow(run, "v int, label double, sure double, doc_id long, x array<double>")
         found = found.groupBy("v", "label", "doc_id").agg(F.max(F.struct("sure", "x")).alias("m"))
         place = F.row_number().over(W.partitionBy("v", "label").orderBy(F.col("m.sure").desc(), F.xxhash64("doc_id"), "doc_id"))
         found = found.withColumn("r", place).where(F.col("r") <= max(most.values()))
@@ -134,45 +151,54 @@ class TablePool:
         return [(r["v"], r["label"], r["doc_id"], np.array(r["m"]["x"])) for r in found.orderBy("v", F.col("label").desc(), "r").collect()]
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray] | TablePool, rounds: int = 5, confident: float = 0.95, per_round: int = 500) -> tuple[tuple[View, View], float]:
-    """Both views learn from four fifths of the labelled rows; for some rounds each hands its most confident guesses about the
-    pool (per_round at most, in the proportion of the classes) to the other. The last fifth calibrates. Returns views and prior log odds."""
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray] | TablePool, rounds: int = 5, confident: float = 0.95, per_round: int = 500, prior: float = 0.0) -> tuple[tuple[View, View], float, list[tuple[int, int]]]:
+    """Both views learn from four fifths of the labelled rows and are calibrated on the last; for some rounds each hands the
+    guesses it is surest of, over all of the pool, to the other: those with a calibrated probability of `confident` or more,
+    per_round at most, in the proportion of the sample's classes. prior: log odds that lead from those to the classes of the
+    whole; a rare class is guessed with so much more care. Returns views, prior log odds of the sample and, by round, how many
+    labels the content and the metadata view have given."""
     held = np.arange(len(y)) % 5 == 4
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held = np.zeros(len(y), bool)
+    calibrate = held if held.any() else np.ones(len(y), bool)
     rate = float(np.clip(y.mean(), 0.001, 0.999))
     given: list[dict[int, tuple[float, np.ndarray]]] = [{}, {}]
     pool = ArrayPool(pool) if isinstance(pool, tuple) else pool
     most = {1.0: math.ceil(per_round * rate), 0.0: math.ceil(per_round * (1 - rate))}
     made: list[View] = []
+    exchanged = []
     for turn in range(rounds + 1):
         made = []
         for v in (0, 1):
             x = np.vstack([views[v][~held], *[x for _, x in given[v].values()]])
-            made.append(fit_view(x, np.concatenate([y[~held], [label for label, _ in given[v].values()]])))
+            view = fit_view(x, np.concatenate([y[~held], [label for label, _ in given[v].values()]]))
+            line = logistic(view.raw(views[v][calibrate])[:, None], y[calibrate], penalty=0.01)
+            view.slope, view.shift = max(float(line[0]), 0.0), float(line[1])
+            made.append(view)
         if turn == rounds:
             break
-        for v, label, i, x in pool.picks(made, given, confident, most):
+        picks = pool.picks(made, given, confident, most, prior)
+        for v, label, i, x in picks:
             given[1 - v][i] = (label, x)
-    calibrate = held if held.any() else np.ones(len(y), bool)
-    for v in (0, 1):
-        line = logistic(made[v].raw(views[v][calibrate])[:, None], y[calibrate], penalty=0.01)
-        made[v].slope, made[v].shift = max(float(line[0]), 0.0), float(line[1])
-    return (made[0], made[1]), math.log(rate / (1 - rate))
+        exchanged.append((sum(v == 0 for v, *_ in picks), sum(v == 1 for v, *_ in picks)))
+    return (made[0], made[1]), math.log(rate / (1 - rate)), exchanged
 
 
-_VIEWS = [T.StructField("__content", T.ArrayType(T.DoubleType())), T.StructField("__meta", T.ArrayType(T.DoubleType()))]
+_CONTENT = [T.StructField("__content", T.ArrayType(T.DoubleType()))]
 
 
-def _views(b: pa.RecordBatch) -> tuple[list[list[float]], list[list[float]]]:
-    column = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()
-    return [content_view(t) for t in raw(b, "text")], [metadata_view(*x) for x in zip(column("lang"), column("source"), column("n_chars"), strict=True)]
+def _content(b: pa.RecordBatch) -> list[list[float]]:
+    return [content_view(t) for t in raw(b, "text")]
 
 
 @dataclass
 class CoTrained:
+    """exchanged: for each round, how many labels the content and the metadata view gave to the other."""
+
     views: tuple[View, View] | None
     prior: float
+    metadata: Metadata = field(default_factory=lambda: Metadata({}))
+    exchanged: list[tuple[int, int]] = field(default_factory=list)
 
     def quality(self, content: np.ndarray, meta: np.ndarray) -> np.ndarray:
         """The probability of good quality: both views' calibrated log odds added, the prior counted once."""
@@ -194,23 +220,24 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000, pool_docs
     picked = F.broadcast(some[0].unionAll(some[1]))  # bounded by the limits
 
     def make(b: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array(x, pa.list_(pa.float64())) for x in _views(b)]
+        return [pa.array(_content(b), pa.list_(pa.float64()))]
 
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null")
-    features = written(add_columns(rows, _VIEWS, make, keep=["doc_id"]))
+    features = written(add_columns(rows, _CONTENT, make, keep=["doc_id", "lang", "source", "n_chars"]))
     others = features.join(known, "doc_id", "left_anti").withColumn("doc_id", F.col("doc_id").cast("long"))
-    pool = TablePool(written(others if pool_docs is None else first(others, pool_docs)))
-    got = features.join(picked, "doc_id").toPandas().sort_values("doc_id").drop_duplicates("doc_id")
-    order = np.argsort([xxhash.xxh3_64_intdigest(str(i)) for i in got["doc_id"]])
-    got = got.iloc[order]
-    y, content, meta = got["__y"].to_numpy(), np.array(got["__content"].tolist()), np.array(got["__meta"].tolist())
+    others = written(others if pool_docs is None else first(others, pool_docs))
+    got = sorted(features.join(picked, "doc_id").dropDuplicates(["doc_id"]).collect(), key=lambda r: (xxhash.xxh3_64_intdigest(str(r["doc_id"])), str(r["doc_id"])))
+    y = np.array([r["__y"] for r in got])
     if len(np.unique(y)) < 2:
         return CoTrained(None, 8.0 if not len(y) or y.max() == 1 else -8.0)
-    views, sample_prior = co_train((content, meta), y.astype(float), pool, rounds)
-    shift = math.log(counts[1] / counts[0]) - sample_prior  # from the sample's share of classes to that of all labels
+    columns = [[r[c] for r in got] for c in ("lang", "source", "n_chars")]
+    metadata = Metadata.of(*columns[:2])
+    content, meta = np.array([r["__content"] for r in got]), metadata.view(*columns)
+    shift = math.log(counts[1] / counts[0]) - math.log(y.mean() / (1 - y.mean()))  # from the sample's classes to those of all labels
+    views, sample_prior, exchanged = co_train((content, meta), y.astype(float), TablePool(others, metadata), rounds, prior=shift)
     for v in views:
         v.shift += shift
-    return CoTrained(views, sample_prior + shift)
+    return CoTrained(views, sample_prior + shift, metadata, exchanged)
 
 
 def score_quality(docs: DataFrame, model: CoTrained, keep_from: float = 0.5) -> DataFrame:
@@ -222,8 +249,8 @@ def score_quality(docs: DataFrame, model: CoTrained, keep_from: float = 0.5) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(b: pa.RecordBatch) -> list[pa.Array]:
-        content, meta = _views(b)
-        q = shared.value.quality(np.array(content), np.array(meta))
+        column = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()
+        q = shared.value.quality(np.array(_content(b)), shared.value.metadata.view(column("lang"), column("source"), column("n_chars")))
         return [pa.array(q, pa.float64()), pa.array(q >= keep_from)]
 
     return add_columns(docs, [T.StructField("quality", T.DoubleType()), T.StructField("kept", T.BooleanType())], make)

@@ -463,11 +463,29 @@ def test_views_teach_each_other():
     views, pool = (content[:20], meta[:20]), (content[20:800], meta[20:800])
     right = []
     for rounds in (0, 4):
-        (_, second), _ = cotrain.co_train(views, y[:20], pool, rounds=rounds)
+        (_, second), _, _ = cotrain.co_train(views, y[:20], pool, rounds=rounds)
         right.append(np.mean((second.raw(meta[800:]) > 0) == (y[800:] == 1)))
     assert right[1] >= right[0] and right[1] > 0.9
 
 
+def test_both_views_give_labels(spark):
+    """Where metadata tell quality as well, labels go both ways, and what each view was given makes it better."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(1500):
+        good = i % 3 > 0
+        words = prose(rng, 60).split()
+        text = " ".join(words if good or rng.random() < 0.2 else [w.upper() + "!!" for w in words])
+        rows.append((i, text, "en", f"{'good' if good else 'bad'}{rng.randrange(6)}" if rng.random() < 0.9 else "any", len(text)))
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(240)], "doc_id long, quality int")
+    model = cotrain.train(docs, labels, rounds=3)
+    assert len(model.exchanged) == 3 and all(sum(x[v] for x in model.exchanged) > 20 for v in (0, 1))
+    assert ("source", "bad1") in model.metadata.names and len({i for i in model.metadata.names.values()}) == len(model.metadata.names)
+    right = lambda m: np.mean([r["kept"] == (r["doc_id"] % 3 > 0) for r in cotrain.score_quality(docs, m).collect() if r["doc_id"] >= 240])
+    alone = cotrain.train(docs, labels, rounds=0)
+    assert alone.exchanged == [] and right(model) >= right(alone) - 0.01 and right(model) > 0.9
+
+
 def test_cotrained_pool_is_the_whole_corpus(spark, monkeypatch):
     """All unlabelled documents are scored in a round, and the surest of all are taken, an id once."""
     rng = random.Random(2)
@@ -475,16 +493,16 @@ def test_cotrained_pool_is_the_whole_corpus(spark, monkeypatch):
     docs = spark.createDataFrame([*rows, rows[-1]], SCHEMA).repartition(6)
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
     pools, real = [], cotrain.co_train
-    monkeypatch.setattr(cotrain, "co_train", lambda views, y, pool, rounds: pools.append(pool) or real(views, y, pool, 1))
+    monkeypatch.setattr(cotrain, "co_train", lambda views, y, pool, rounds, prior: pools.append(pool) or real(views, y, pool, 1, prior=prior))
     cotrain.train(docs, labels)
     held = pools[0].rows.collect()
     assert {r["doc_id"] for r in held} == set(range(200, 4300))
-    views = tuple(np.array([r[c] for r in held]) for c in ("__content", "__meta"))
+    views = np.array([r["__content"] for r in held]), pools[0].metadata.view(*[[r[c] for r in held] for c in ("lang", "source", "n_chars")])
     made = [cotrain.fit_view(x, np.arange(len(x)) % 2.0) for x in views]
     given, most = [{200: None, 201: None}, {202: None}], {1.0: 30, 0.0: 20}
-    got = pools[0].picks(made, given, 0.3, most)
+    got = pools[0].picks(made, given, 0.3, most, 0.1)
     for v, label in ((0, 1.0), (0, 0.0), (1, 1.0), (1, 0.0)):
-        p = 1 / (1 + np.exp(-made[v].raw(views[v])))
+        p = 1 / (1 + np.exp(-made[v].log_odds(views[v]) - 0.1))
         sure = {r["doc_id"]: s for r, s in zip(held, p if label else 1 - p, strict=True) if s >= 0.3 and r["doc_id"] not in given[1 - v]}
         ids = [i for w, k, i, _ in got if (w, k) == (v, label)]
         assert len(set(ids)) == len(ids) == most[label] and np.allclose(sorted(sure[i] for i in ids), sorted(sure.values())[-most[label] :])
