@@ -83,8 +83,10 @@ def test_decontamination(spark, docs, none, rows):
     items = [(1, " ".join(own[10].split()[2:14])), (2, own[20]), (3, None), (4, ""), (5, "Two Words!"), (6, prose(rng, 30)), (7, " ".join(own[93].split()[500:540])), (7, " ".join(own[93].split()[100:109])), (8, "one"), (None, own[5][:70])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     tokens = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(t))
-    for block in (10**7, 60):
-        got = by_id(decontam.contamination(docs, bench, block_chars=block), "n_words", "hits")
+    spans = []
+    for most in (10**7, 0):
+        got = by_id(decontam.contamination(docs, bench, broadcast_chars=most), "n_words", "hits")
+        spans.append({i: sorted(tuple(h) for h in x[1]) for i, x in got.items()})
         for r in rows:
             w, hit, ids = tokens(r[1]), set(), set()
             for name, text in items:
@@ -98,7 +100,9 @@ def test_decontamination(spark, docs, none, rows):
             n_words, hits = got[r[0]]
             assert n_words == len(w) and {h["item"] for h in hits} == ids
             assert {p for h in hits for p in range(h["start"], h["end"])} == hit
-    assert decontam.contamination(none, bench).count() == 0 and decontam.contamination(docs, bench.limit(0)).where("size(hits) > 0").count() == 0
+    assert spans[0] == spans[1]  # not the words hit alone: the maximal spans
+    for most in (10**7, 0, -1):
+        assert decontam.contamination(none, bench, broadcast_chars=most).count() == 0 and decontam.contamination(docs, bench.limit(0), broadcast_chars=most).where("size(hits) > 0").count() == 0
 
 
 def test_winnowing_guarantee():
