@@ -25,6 +25,7 @@ from .components import connected_components
 #: 32 bands of 5 slots miss a pair of similarity 0.8 with a chance of 3 in a million.
 BANDS, ROWS = 32, 5
 _CHUNK = 100_000
+_SALTS = 8
 
 
 def shingle_set(text_words: list[bytes], k: int, names: WordHash) -> np.ndarray:
@@ -34,6 +35,9 @@ def shingle_set(text_words: list[bytes], k: int, names: WordHash) -> np.ndarray:
 
 def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     """Signatures (len(sets), m): the top byte of a slot is the rank that filled it, the rest its uniform value."""
+    if len(sets) == 1 and len(sets[0]) > _CHUNK:  # of a long text, the least of the signatures of its parts
+        parts = np.array_split(sets[0], -(-len(sets[0]) // _CHUNK))
+        return np.minimum.reduce([super_minhash([x], m) for x in parts])
     sizes = np.array([len(s) for s in sets])
     sig = np.full(len(sets) * m, np.iinfo(np.uint64).max)
     element = np.concatenate(sets) if len(sets) else np.empty(0, np.uint64)
@@ -70,6 +74,12 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def _digests(blobs: list[bytes]) -> list[pa.Array]:
+    """128 bits of each set, in two columns."""
+    both = [xxhash.xxh3_128_intdigest(x) for x in blobs]
+    return [pa.array(_signed(np.array([(d >> shift) & (2**64 - 1) for d in both], np.uint64))) for shift in (64, 0)]
+
+
 def _sketch(k: int, bands: int, rows: int):
     names = WordHash()
 
@@ -82,38 +92,33 @@ def _sketch(k: int, bands: int, rows: int):
         for part in np.split(todo, np.unique(np.minimum(cuts, len(todo)))):
             if len(part):
                 keys[part] = band_keys(super_minhash([sets[i] for i in part], bands * rows), bands, rows)
-        digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-        half = lambda shift: pa.array(_signed(np.array([(d >> shift) & (2**64 - 1) for d in digests], np.uint64)))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(sets) + 1, bands), pa.int32()), pa.array(_signed(keys).ravel()))
-        return [pa.array(sizes, pa.int64()), half(64), half(0), lists]
+        return [pa.array(sizes, pa.int64()), *_digests([s.tobytes() for s in sets]), lists]
 
     return make
 
 
-_SKETCH = [T.StructField("n_shingles", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-
+_DIGEST = [T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType())]
+_SKETCH = [T.StructField("n_shingles", T.LongType()), *_DIGEST, T.StructField("bands", T.ArrayType(T.LongType()))]
 
-def _unnamed(lo):
-    """The node of a class that has no doc_id."""
-    return F.least(lo, -lo - 1)
 
-
-def _full_sets(docs: DataFrame, wanted: DataFrame, k: int, unnamed: bool) -> DataFrame:
-    """(node, shingles) of the wanted nodes; only the texts of wanted documents are read again."""
+def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of the wanted classes (node, hi, lo, first_id); only the texts of their first documents, and those
+    without doc_id, are read again."""
     names = WordHash()
 
     def make(b: pa.RecordBatch) -> list[pa.Array]:
         sets = [shingle_set(words(t), k, names) for t in raw(b, "text")]
-        low = [xxhash.xxh3_128_intdigest(s.tobytes()) & (2**64 - 1) for s in sets]
-        return [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(_signed(np.array(low, np.uint64)))]
+        blobs = [s.tobytes() for s in sets]
+        return [pa.array(blobs, pa.binary()), *_digests(blobs)]
 
-    fields = [T.StructField("shingles", T.BinaryType()), T.StructField("lo", T.LongType())]
-    named = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi")
-    out = add_columns(named, fields, make, keep=["node"]).select("node", "shingles")
-    if unnamed:
-        rest = add_columns(docs.where("doc_id is null").select("text"), fields, make, keep=[]).select(_unnamed(F.col("lo")).alias("node"), "shingles")
-        out = out.unionByName(rest.join(wanted, "node", "left_semi"))
-    return cut(out.dropDuplicates(["node"]))
+    fields = [T.StructField("shingles", T.BinaryType()), *_DIGEST]
+    firsts = wanted.where("first_id is not null").select(F.col("first_id").alias("doc_id")).distinct()
+    texts = docs.join(firsts, "doc_id", "left_semi").select("text")
+    if not wanted.where("first_id is null").isEmpty():
+        texts = texts.unionByName(docs.where("doc_id is null").select("text"))
+    sets = add_columns(texts, fields, make, keep=[]).dropDuplicates(["hi", "lo"])
+    return cut(sets.join(wanted.select("hi", "lo", "node"), ["hi", "lo"]).select("node", "shingles"))
 
 
 def _same(a: np.ndarray, others: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -202,25 +207,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     Documents whose shingle sets have 100 * intersection >= percent * union are linked; component_id is the smallest doc_id
     that links reach, kept says that it is the document's own. A null or empty text, or one of white space, has no shingles
-    and is linked with nothing. Rows that repeat a doc_id share one component (their sets should agree). A null doc_id
-    takes part, is never kept, and gives no component_id: it is null where no named document is linked. An empty table
-    returns none; other columns are neither read nor returned. Ties cannot arise: order is by doc_id alone.
-    Sets are compared by 64-bit shingle hashes and classes by 128-bit digests of sets.
+    and is linked with nothing. A doc_id may have any type that can be ordered. Rows that repeat a doc_id are judged each by
+    its own set. A null doc_id takes part, is never kept, and gives no component_id: it is null where no named document is
+    linked. An empty table returns none; other columns are neither read nor returned. Ties cannot arise: order is by doc_id
+    alone. Sets are compared by 64-bit shingle hashes and classes by 128-bit digests of sets; a long text is hashed in parts.
+    The leaves of a hub are dealt over one partition for every `block` of them, each with a copy of the hub's set.
     """
     docs = docs.select("doc_id", "text")
     sketches = cut(add_columns(docs, _SKETCH, _sketch(shingle, bands, rows), keep=["doc_id"]))
-    unnamed = not sketches.where("doc_id is null and n_shingles > 0").isEmpty()
-    whole = sketches.where("n_shingles > 0")
-    named = whole.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "bands"))["bands"].alias("bands"))
-    classes = cut(named.withColumn("node", F.coalesce("first_id", _unnamed(F.col("lo")))))
+    named = sketches.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
+    classes = cut(named.withColumn("node", F.monotonically_increasing_id()))  # numbers that the cut makes permanent
     in_bands = classes.select("node", F.explode("bands").alias("bucket"))
     shared = in_bands.groupBy("bucket").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(in_bands.join(shared, "bucket").select("bucket", "node", "center"))
-    nodes = members.select("node").distinct()
-    sets = _full_sets(docs, nodes, shingle, unnamed)
-
-    stars = members.where("node <> center").select("center", "node").distinct()
-    pairs = stars.join(sets.select("node", F.col("shingles").alias("y")), "node").join(sets.select(F.col("node").alias("center"), F.col("shingles").alias("x")), "center")
+    members = cut(in_bands.join(shared, "bucket").select("bucket", "node", "center", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
+    sets = _full_sets(docs, classes.drop("bands").join(members.select("node").distinct(), "node", "left_semi"), shingle)
+
+    stars = members.where("node <> center").groupBy("center", "node").agg(F.max("blocks").alias("blocks"))
+    hubs = stars.select("center", "blocks").distinct().join(sets.select(F.col("node").alias("center"), F.col("shingles").alias("x")), "center")
+    hubs = hubs.select("center", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "x")
+    leaves = stars.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets.select("node", F.col("shingles").alias("y")), "node")
+    pairs = leaves.join(hubs, ["center", "blocks", "part"])
     links = cut(pairs.select("center", "node", "x", "y").mapInArrow(_confirmed(percent), "a long, b long"))
     first = cut(connected_components(links))
 
@@ -239,12 +245,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     relabel = second.select(F.col("node").alias("mid"), F.col("component").alias("last"))
     where = first.withColumnRenamed("component", "mid").join(relabel, "mid", "left").select("node", F.coalesce("last", "mid").alias("comp"))
     alone = relabel.join(first.select(F.col("node").alias("mid")), "mid", "left_anti").select(F.col("mid").alias("node"), F.col("last").alias("comp"))
-    placed = classes.select("hi", "lo", "node", "first_id").join(where.unionByName(alone), "node", "left").select("hi", "lo", "first_id", F.coalesce("comp", "node").alias("comp"))
-    if unnamed:
-        smallest = placed.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-        named = placed.join(smallest, "comp").select("hi", "lo", "component_id")
-    else:  # nodes are doc_ids, and components are named by the smallest node
-        named = placed.select("hi", "lo", F.col("comp").alias("component_id"))
+    placed = cut(classes.select("hi", "lo", "node", "first_id").join(where.unionByName(alone), "node", "left"))
+    linked = placed.where("comp is not null").withColumn("salt", F.pmod("node", F.lit(_SALTS)))  # a component may hold a third of the classes
+    smallest = linked.groupBy("comp").agg(F.min("first_id").alias("component_id"))
+    smallest = smallest.select("comp", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("salt"))
+    named = linked.join(smallest, ["comp", "salt"]).select("hi", "lo", "component_id")
+    named = named.unionByName(placed.where("comp is null").select("hi", "lo", F.col("first_id").alias("component_id")))
     out = sketches.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))

@@ -113,28 +113,67 @@ def test_winnowing_guarantee():
         assert set(a[decontam.minima(a, 5)]) & set(b[decontam.minima(b, 5)])
 
 
+def components_by_hand(sets, percent=80):
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and x and y and 100 * len(x & y) >= percent * len(x | y):
+                r, s = sorted((root(a), root(b)))
+                label[s] = r
+    return {i: root(i) for i in sets}
+
+
+def shingles_of(text, k):
+    w = WORD.findall(low(text))
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) or (frozenset([tuple(w)]) if w else frozenset())
+
+
 def test_near_duplicates(docs, none, rows):
     for k in (2, 5):
         got = by_id(minhash.near_duplicates(docs, shingle=k, block=4), "n_shingles", "component_id", "kept")
-        sets = {}
-        for r in rows:
-            w = WORD.findall(low(r[1]))
-            sets[r[0]] = frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) or (frozenset([tuple(w)]) if w else frozenset())
-        label = {i: i for i in sets}
-        for _ in sets:
-            for a, x in sets.items():
-                for b, y in sets.items():
-                    if x and y and 100 * len(x & y) >= 80 * len(x | y):
-                        label[a] = label[b] = min(label[a], label[b])
-            if k == 5:
-                break
+        sets = {r[0]: shingles_of(r[1], k) for r in rows}
+        label = components_by_hand(sets)
+        assert len(set(label.values())) < len(label)
         for i, x in sets.items():
-            assert got[i][0] == len(x)
-            if k == 2:
-                assert got[i][1:] == (label[i], label[i] == i)
+            assert got[i] == (len(x), label[i], label[i] == i)
     assert minhash.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "date"])
+def test_near_duplicates_with_any_ids(spark, rows, kind):
+    make = {"string": lambda i: F.concat(F.lit("id-"), F.lpad(i.cast("string"), 4, "0")), "date": lambda i: F.date_add(F.lit("2020-01-01").cast("date"), i.cast("int"))}.get(kind, lambda i: i.cast(kind))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = {r[0]: tuple(r)[1:] for r in minhash.near_duplicates(df, shingle=2).select(make(F.col("doc_id")).alias("id"), "n_shingles", make(F.col("component_id")).alias("c"), "kept").collect()}
+    got = {r[0]: tuple(r)[1:] for r in minhash.near_duplicates(df.withColumn("doc_id", make(F.col("doc_id"))), shingle=2, block=3).collect()}
+    assert got == want and any(not x[-1] for x in got.values())
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows that share a doc_id and differ in text are judged each by its own text, whatever the layout."""
+    one, two = prose(random.Random(1), 70), prose(random.Random(2), 70)
+    data = [(5, one), (5, two), (5, one), (7, two + " x"), (3, one + " y"), (-9, "alone here"), (-9, None)]
+    for parts in (1, 4):
+        got = sorted(map(tuple, minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(parts), shingle=2).collect()), key=str)
+        assert [x[2] for x in got if x[0] == 5] == [3, 3, 5] and {x[2] for x in got if x[0] == 7} == {5} and [x[1:] for x in got if x[0] == -9] == [(0, -9, True), (1, -9, True)]
+
+
+def test_very_long_texts_are_hashed_in_parts(spark, monkeypatch):
+    text = " ".join(map(str, range(400_000)))
+    rows = [(1, text), (2, text + " more"), (3, " ".join(map(str, range(200_000)))), (4, "short text")]
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id")
+    assert got == {1: (399_996, 1), 2: (399_997, 1), 3: (199_996, 3), 4: (1, 4)}
+    x = np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64)
+    whole = minhash.super_minhash([x], 160)
+    monkeypatch.setattr(minhash, "_CHUNK", 70)
+    assert (minhash.super_minhash([x], 160) == whole).all()
+
+
 def test_near_duplicates_without_ids(spark):
     text = prose(random.Random(1), 60)
     df = spark.createDataFrame([(None, text), (None, text + " x"), (4, text + " y"), (None, "other words stand here"), (None, None)], "doc_id long, text string")
@@ -155,6 +194,18 @@ def test_super_minhash_estimates_and_needs_no_order():
     assert (minhash.super_minhash([a[:1]], 160) < np.iinfo(np.uint64).max).all()
 
 
+def test_hubs_meet_their_names_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_ROWS", 2000)
+    rows = spark.createDataFrame([(7, i) for i in range(1500)] + [(i, i) for i in range(10, 800)], "k long, x long")
+    names = spark.createDataFrame([(i, -i) for i in range(0, 700)], "k long, v long")
+    for how in ("inner", "left"):
+        got = components.looked_up(rows, "k", names, 2290, how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(names, "k", how).collect())) and got.columns == ["k", "x", "v"]
+    edges = [(0, i) for i in range(1, 1990)] + [(i, i + 1) for i in range(3000, 3005)] + [(5, 3005)]
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert got.groupBy("component").count().collect()[0]["count"] == len({x for e in edges for x in e})
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(99, x) for x in range(61, 99)] + [(None, 3), (5, 5)]
