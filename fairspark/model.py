@@ -34,9 +34,9 @@ class Grid:
     clip: float = 8.0
 
     def __post_init__(self):
-        whole(self.bits, "bits", 0, 30)
-        if not math.isfinite(self.clip) or self.clip <= 0 or self.clip * self.scale > 2**52:
-            raise ValueError("invalid clip or encoded range")
+        most = 2.0**52 / (1 << whole(self.bits, "bits", 0, 30))  # doubles hold every encoded coordinate exactly
+        if not 0 < self.clip <= most:
+            raise ValueError(f"clip must be over 0 and at most {most:g} at {self.bits} bits")
 
     @property
     def scale(self) -> int:

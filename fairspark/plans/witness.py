@@ -68,7 +68,7 @@ def witness_center(kappa: int, seed: int, method: str, unit: int = 150, distance
         words = CountedWords(E.tape(seed, role, *ids))
         picked = seed_runs([(n, v) for n, v, _ in runs], own_weights, k, words)
         drawn += words.words
-        values = [v for n, v, _ in runs for _ in range(1)]
+        values = [v for _, v, _ in runs]
         ends = list(accumulate(n for n, _, _ in runs))
         return [values[next(b for b, end in enumerate(ends) if i < end)] for i in picked]
 
