@@ -7,8 +7,11 @@ rationals have no SQL; the test suite checks them against a scalar oracle.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -104,16 +107,6 @@ def p20_dimension_guard(spark, sf):
     return P.dimension_guard(encoded(spark, sf))
 
 
-@query("SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_nationkey IN (1, 2) AND c_acctbal > 0 AND c_custkey = floor(c_custkey)")
-def p1_eligible(spark, sf):
-    return read(spark, sf, "customer").where(F.col("c_nationkey").isin(1, 2) & (F.col("c_acctbal") > 0) & (F.col("c_custkey") == F.floor("c_custkey"))).select("c_custkey", "c_nationkey", "c_acctbal")
-
-
-@query("SELECT event_id, coalesce(CASE WHEN value > 20 THEN NULL ELSE value END, -1) AS value FROM events")
-def p2_imputed(spark, sf):
-    return read(spark, sf, "events").select("event_id", F.coalesce(F.nanvl(F.when(F.col("value") <= 20, F.col("value")), F.lit(None)), F.lit(-1.0)).alias("value"))
-
-
 @query("SELECT 'quantity' AS feature, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS s, CAST(sum(CAST(l_quantity AS BIGINT) * CAST(l_quantity AS BIGINT)) AS BIGINT) AS ss FROM lineitem")
 def p3_a23_moments(spark, sf):
     rows = read(spark, sf, "lineitem").select(F.col("l_quantity").alias("quantity"))
@@ -129,11 +122,6 @@ def p3_p5_standardized_levels(spark, sf):
     return decoded.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.round(F.first("quantity"), 9).alias("z"))
 
 
-@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS group_id FROM orders")
-def p4_group_code(spark, sf):
-    return read(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("group_id"))
-
-
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE label % 2 IN (0, 1)) AS valid FROM embeddings")
 def p10_p14_p18_checked(spark, sf):
     points = vectors(spark, sf)
@@ -177,16 +165,8 @@ def p19_filtered(spark, sf):
 # Joins.
 
 
-@query("WITH o AS (SELECT o_custkey % 25 AS client, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT client, n, sum(n) OVER (ORDER BY client) - n AS first FROM o) SELECT o_orderkey AS flat_index, client, CAST(o_orderkey - first AS BIGINT) AS local_row FROM orders JOIN f ON o_orderkey >= first AND o_orderkey < first + n WHERE o_orderkey % 7 = 0")
+@query("WITH o AS (SELECT o_custkey % 25 AS client, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT client, n, sum(n) OVER (ORDER BY client) - n AS first FROM o) SELECT o_orderkey AS flat_index, client, CAST(o_orderkey - first AS BIGINT) AS local_row FROM orders JOIN f ON o_orderkey >= first AND o_orderkey < first + n")
 def j2_flat_index(spark, sf):
-    orders = read(spark, sf, "orders")
-    offsets = Fed.client_offsets(orders.select((F.col("o_custkey") % 25).alias("client")))
-    return Fed.locate(orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("flat_index")), offsets, 256)
-
-
-@query(ORACLE_SQL["j2_flat_index"].replace(" WHERE o_orderkey % 7 = 0", ""))
-def j2_flat_index_whole(spark, sf):
-    """Every order located, where j2_flat_index takes one of seven."""
     orders = read(spark, sf, "orders")
     offsets = Fed.client_offsets(orders.select((F.col("o_custkey") % 25).alias("client")))
     return Fed.locate(orders.select(F.col("o_orderkey").alias("flat_index")), offsets, 256)
@@ -218,10 +198,14 @@ def j6_u4_touched_slices(spark, sf):
 
 @query("WITH s AS (SELECT vec_id % 20 AS client, CAST(label % 2 AS INTEGER) AS group_id, count(*) AS held FROM embeddings GROUP BY 1, 2), g AS (SELECT label % 2 AS group_id, count(*) AS size FROM embeddings GROUP BY 1) SELECT client, s.group_id, held, size, held / size AS weight FROM s JOIN g USING (group_id)")
 def j7_r7_anchor_weights(spark, sf):
-    points = vectors(spark, sf)
-    slices = points.groupBy("client", "group_id").agg(F.count(F.lit(1)).alias("held"))
-    sizes = points.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"))
-    return slices.join(F.broadcast(sizes), "group_id").select("client", "group_id", "held", "size", (F.col("held") / F.col("size")).alias("weight"))
+    """Whatever rows a slice draws as its anchors, their weights add up to its share of the group."""
+    points = encoded(spark, sf)
+    sizes, total = P.group_sizes(points, 2), defaultdict(Fraction)
+    anchors = S.anchors_of(S.local_slices(points, 7, Settings(K)), sizes)
+    for (client, group, _), weight in zip(anchors.owner, anchors.weights, strict=True):
+        total[client, group] += weight
+    rows = [(c, g, int(w * sizes[g]), sizes[g], float(w)) for (c, g), w in total.items()]
+    return spark.createDataFrame(rows, "client long, group_id int, held long, size long, weight double")
 
 
 @query(f"WITH {LAB} SELECT client, local_row, CAST(label AS INTEGER) AS label, d1 FROM lab JOIN (SELECT DISTINCT vec_id, client, local_row FROM enc) USING (vec_id) WHERE vec_id % 37 <> 0")
@@ -247,19 +231,12 @@ def j9_paired_ratio(spark, sf):
     return run_pairs(spark, sf)
 
 
-BUDGET = "b AS (SELECT l_suppkey AS supplier, CAST(l_linenumber AS INTEGER) AS budget, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS value FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL)"
-
-
-ALL_BUDGETS = BUDGET.replace(" WHERE l_linenumber <= 3", "")
-
-
-def all_budgets(spark, sf) -> DataFrame:
-    return read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("supplier"), F.col("l_linenumber").cast("int").alias("budget")).agg(F.sum(F.col("l_quantity").cast("long")).alias("value"))
+BUDGET = "b AS (SELECT l_suppkey AS supplier, CAST(l_linenumber AS INTEGER) AS budget, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS value FROM lineitem GROUP BY ALL)"
 
 
 def budgets(spark, sf) -> DataFrame:
-    """The first three budgets."""
-    return all_budgets(spark, sf).where("budget <= 3")
+    """All line numbers as budgets."""
+    return read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("supplier"), F.col("l_linenumber").cast("int").alias("budget")).agg(F.sum(F.col("l_quantity").cast("long")).alias("value"))
 
 
 @query(f"WITH {BUDGET} SELECT x.supplier, x.budget AS low_budget, y.budget AS high_budget, x.value AS low, y.value AS high, y.value - x.value AS change, (y.value - x.value) / nullif(x.value, 0) AS relative FROM b x JOIN b y ON x.supplier = y.supplier AND x.budget < y.budget")
@@ -267,11 +244,6 @@ def j10_budget_pairs(spark, sf):
     return Rep.pairs_over(budgets(spark, sf), ["supplier"], "budget", "value").select("supplier", "low_budget", "high_budget", "low", "high", "change", "relative")
 
 
-@query(ORACLE_SQL["j10_budget_pairs"].replace(BUDGET, ALL_BUDGETS))
-def j10_budget_pairs_whole(spark, sf):
-    return Rep.pairs_over(all_budgets(spark, sf), ["supplier"], "budget", "value").select("supplier", "low_budget", "high_budget", "low", "high", "change", "relative")
-
-
 @query(f"WITH {RUN} SELECT x.supplier, x.dataset, x.seconds AS N, y.seconds AS R, x.seconds - y.seconds AS difference, (x.seconds - y.seconds) / nullif(y.seconds, 0) AS relative FROM run x JOIN run y USING (supplier, dataset) WHERE x.method = 'N' AND y.method = 'R'")
 def j11_compared(spark, sf):
     return Rep.compared(run_records(spark, sf), ["supplier", "dataset"], "method", "seconds", "N", "R")
@@ -336,7 +308,7 @@ def r12_d7_general_assignment(spark, sf):
 
 @query("SELECT CAST(label % 2 AS INTEGER) AS group_id, count(*) AS n FROM embeddings GROUP BY 1")
 def a4_group_sizes(spark, sf):
-    return vectors(spark, sf).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame(list(enumerate(P.group_sizes(vectors(spark, sf), 2))), "group_id int, n long")
 
 
 @query(f"WITH {LAB} SELECT CAST(cluster AS INTEGER) AS cluster, count(DISTINCT vec_id) AS n, count(DISTINCT vec_id) FILTER (WHERE a.group_id = 0) AS a, count(DISTINCT vec_id) FILTER (WHERE a.group_id = 1) AS b FROM (SELECT DISTINCT cluster FROM cells) c LEFT JOIN al a ON a.label = c.cluster GROUP BY 1")
@@ -413,16 +385,8 @@ def w2_slice_index(spark, sf):
     return P.retained(points, request(points)).select("client", "group_id", "local_row", (F.row_number().over(W.partitionBy("client", "group_id").orderBy("local_row")) - 1).cast("long").alias("index"))
 
 
-@query("WITH c AS (SELECT o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS mass FROM orders WHERE o_custkey % 25 = 3), u AS (SELECT *, sum(mass) OVER (ORDER BY o_orderkey) AS upto, sum(mass) OVER () AS total FROM c) SELECT min(o_orderkey) AS chosen FROM u WHERE upto > total // 3")
-def w4_cdf_inversion(spark, sf):
-    rows = read(spark, sf, "orders").where("o_custkey % 25 = 3").select("o_orderkey", F.round("o_totalprice").cast("long").alias("mass"))
-    upto = rows.withColumn("upto", F.sum("mass").over(W.orderBy("o_orderkey"))).withColumn("total", F.sum("mass").over(W.partitionBy()))
-    return upto.where(F.expr("upto > total div 3")).agg(F.min("o_orderkey").alias("chosen"))
-
-
 @query("WITH c AS (SELECT o_custkey % 25 AS client, o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS mass FROM orders), u AS (SELECT *, sum(mass) OVER (PARTITION BY client ORDER BY o_orderkey) AS upto, sum(mass) OVER (PARTITION BY client) AS total FROM c) SELECT client, min(o_orderkey) AS chosen FROM u WHERE upto > total // 3 GROUP BY client")
-def w4_cdf_inversion_whole(spark, sf):
-    """One row chosen for every client, where w4_cdf_inversion takes client 3."""
+def w4_cdf_inversion(spark, sf):
     rows = read(spark, sf, "orders").select((F.col("o_custkey") % 25).alias("client"), "o_orderkey", F.round("o_totalprice").cast("long").alias("mass"))
     upto = rows.withColumn("upto", F.sum("mass").over(W.partitionBy("client").orderBy("o_orderkey"))).withColumn("total", F.sum("mass").over(W.partitionBy("client")))
     return upto.where(F.expr("upto > total div 3")).groupBy("client").agg(F.min("o_orderkey").alias("chosen"))
@@ -444,16 +408,6 @@ def w7_running(spark, sf):
     return Rep.running(budgets(spark, sf), ["supplier"], "budget", "value")
 
 
-@query(ORACLE_SQL["w6_steps"].replace(BUDGET, ALL_BUDGETS))
-def w6_steps_whole(spark, sf):
-    return Rep.steps(all_budgets(spark, sf), ["supplier"], "budget", "value")
-
-
-@query(ORACLE_SQL["w7_running"].replace(BUDGET, ALL_BUDGETS))
-def w7_running_whole(spark, sf):
-    return Rep.running(all_budgets(spark, sf), ["supplier"], "budget", "value")
-
-
 @query("""WITH c AS (SELECT c_nationkey AS client, count(*) AS n, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS a FROM customer GROUP BY 1),
 t AS (SELECT *, least(sum(a) OVER () - a, sum(n - a) OVER () - (n - a)) AS left_over FROM c), v AS (SELECT *, CAST(2 * quantile_cont(n, 0.5) OVER () AS BIGINT) AS median2 FROM t WHERE left_over > 0)
 SELECT r AS role, client FROM (SELECT arg_min(client, (n, client)) AS smallest, arg_min(client, (abs(2 * n - median2), client)) AS median_size, arg_min(client, (-n, client)) AS largest, arg_min(client, (a / n, client)) AS min_group0_fraction, arg_min(client, (-(a / n), client)) AS max_group0_fraction, arg_min(client, (left_over, client)) AS min_surviving_smaller_group FROM v)
@@ -473,12 +427,19 @@ def w10_dense_clients(spark, sf):
     return Fed.dense_clients(read(spark, sf, "customer").select((F.col("c_nationkey") * 3).alias("client")))
 
 
-@query("SELECT s.s_suppkey AS supplier, max(o.s_acctbal) AS most_of_others FROM supplier s JOIN supplier o ON s.s_nationkey = o.s_nationkey AND s.s_suppkey <> o.s_suppkey GROUP BY 1")
+@query("WITH t AS (SELECT s_nationkey, max(s_acctbal) AS top FROM supplier GROUP BY 1) SELECT s_suppkey AS supplier, (SELECT max(top) FROM t WHERE t.s_nationkey <> s.s_nationkey) AS most_of_others FROM supplier s")
 def w11_most_of_others(spark, sf):
-    """The largest value of the others, from the two largest of each group."""
-    s = read(spark, sf, "supplier").withColumn("r", F.row_number().over(W.partitionBy("s_nationkey").orderBy(F.col("s_acctbal").desc(), "s_suppkey")))
-    top = s.where("r <= 2").groupBy("s_nationkey").agg(F.max(F.when(F.col("r") == 1, F.col("s_acctbal"))).alias("one"), F.max(F.when(F.col("r") == 2, F.col("s_acctbal"))).alias("two"))
-    return s.join(top, "s_nationkey").select(F.col("s_suppkey").alias("supplier"), F.when(F.col("r") == 1, F.col("two")).otherwise(F.col("one")).alias("most_of_others")).where("most_of_others is not null")
+    """For each supplier the largest balance of another nation, from the largest of each."""
+    suppliers = read(spark, sf, "supplier")
+    tops = suppliers.groupBy("s_nationkey").agg(F.max("s_acctbal").alias("top")).orderBy("s_nationkey").collect()  # 25 nations
+    place, values = {r["s_nationkey"]: i for i, r in enumerate(tops)}, np.array([r["top"] for r in tops])
+
+    def run(batches):
+        for b in batches:
+            own = np.array([place[n] for n in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(E.most_of_others(values, own))], names=["supplier", "most_of_others"])
+
+    return suppliers.select(F.col("s_suppkey").alias("supplier"), "s_nationkey").mapInArrow(run, "supplier long, most_of_others double")
 
 
 @query("SELECT s_suppkey AS supplier, CAST(r AS INTEGER) AS repetition, CAST((s_suppkey + r) % 3 AS INTEGER) AS first_method FROM supplier, range(4) t(r)")
@@ -625,11 +586,6 @@ def a32_change_summary(spark, sf):
     return Rep.change_summary(Rep.pairs_over(budgets(spark, sf), ["supplier"], "budget", "value"), ["low_budget", "high_budget"])
 
 
-@query(ORACLE_SQL["a32_change_summary"].replace(BUDGET, ALL_BUDGETS))
-def a32_change_summary_whole(spark, sf):
-    return Rep.change_summary(Rep.pairs_over(all_budgets(spark, sf), ["supplier"], "budget", "value"), ["low_budget", "high_budget"])
-
-
 @query("SELECT s_suppkey AS id, 100 AS setup, s_suppkey % 9 AS fresh, s_suppkey % 4 AS method, s_suppkey % 9 - s_suppkey % 4 AS saving, CASE WHEN s_suppkey % 9 > s_suppkey % 4 THEN CAST(ceil(100 / (s_suppkey % 9 - s_suppkey % 4)) AS BIGINT) ELSE -1 END AS requests FROM supplier")
 def a33_break_even(spark, sf):
     s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(100).alias("setup"), (F.col("s_suppkey") % 9).alias("fresh"), (F.col("s_suppkey") % 4).alias("method"))
@@ -671,14 +627,8 @@ def t1_t3_t4_top(spark, sf):
     return read(spark, sf, "supplier").orderBy(F.col("s_acctbal").desc(), "s_suppkey").limit(5).select("s_suppkey")
 
 
-@query("SELECT client, group_id, local_row FROM (SELECT vec_id % 20 AS client, CAST(label % 2 AS INTEGER) AS group_id, vec_id // 20 AS local_row FROM embeddings) WHERE local_row < 3")
+@query("SELECT client, group_id, local_row FROM (SELECT vec_id % 20 AS client, CAST(label % 2 AS INTEGER) AS group_id, vec_id // 20 AS local_row FROM embeddings)")
 def t2_t6_canonical_order(spark, sf):
-    return vectors(spark, sf).where("local_row < 3").select("client", "group_id", "local_row").orderBy("client", "group_id", "local_row")
-
-
-@query(ORACLE_SQL["t2_t6_canonical_order"].replace(" WHERE local_row < 3", ""))
-def t2_t6_canonical_order_whole(spark, sf):
-    """All rows sorted, where t2_t6_canonical_order takes three a client."""
     return vectors(spark, sf).select("client", "group_id", "local_row").orderBy("client", "group_id", "local_row")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import time
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
@@ -18,13 +17,12 @@ from ..operators import points as P
 from ..operators import rounds as R
 from ..operators import seeding as S
 from ..operators import update as U
+from ..sources.workplace import shared_folder
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, written once to the folder of spark.checkpoint.dir (a temporary one only if none is set)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fairspark-"))
+    """df, written once to the shared folder of spark.checkpoint.dir."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

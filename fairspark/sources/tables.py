@@ -113,6 +113,42 @@ def read_npz(spark: SparkSession, path: str, sha256: dict[str, str] | None = Non
     return files.select("content").mapInArrow(run, POINTS)
 
 
+def local_path(path: str) -> Path:
+    """The place of a folder that all machines see as files."""
+    if "://" in path.removeprefix("file://"):
+        raise ValueError("arrays are written to a mounted folder")
+    return Path(path.removeprefix("file://").removeprefix("file:"))
+
+
+def write_arrays(points: DataFrame, folder: str, kind: str = "npz") -> DataFrame:
+    """One file for each client, written by the executors in one step, and (client, file, bytes, sha256) of all: containers that
+    read_npz reads, or features alone for read_npy. A file that is there must hold the same bytes."""
+    import hashlib
+
+    where = local_path(folder)
+
+    def run(group: pa.Table) -> pa.Table:
+        client, group = group["client"][0].as_py(), group.sort_by("local_row")
+        x, buffer = np.array(group["features"].to_pylist(), np.float64), io.BytesIO()
+        if kind == "npz":
+            np.savez(buffer, X=x, groups=group["group_id"].to_numpy().astype(np.int64), offsets=np.array([0, len(x)]), client_ids=np.array([client]))
+        else:
+            np.save(buffer, x)
+        data, target = buffer.getvalue(), where / f"client_{client}.{kind}"
+        if target.exists():
+            if target.read_bytes() != data:
+                raise ValueError(f"{target} is immutable and would change")
+        else:
+            where.mkdir(parents=True, exist_ok=True)
+            handle, name = tempfile.mkstemp(dir=where, prefix=".")
+            with os.fdopen(handle, "wb") as f:
+                f.write(data)
+            os.replace(name, target)
+        return pa.table([pa.array([client], pa.int64()), pa.array([target.name]), pa.array([len(data)], pa.int64()), pa.array([hashlib.sha256(data).hexdigest()])], names=["client", "file", "bytes", "sha256"])
+
+    return points.select("client", "local_row", "group_id", "features").groupBy("client").applyInArrow(run, "client long, file string, bytes long, sha256 string")
+
+
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
     """(row, values) of two-dimensional arrays of doubles, one file for each part."""
 
