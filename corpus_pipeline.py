@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fairspark.llm import decontam, lines, minhash, mixing, toxicity
@@ -21,16 +22,26 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines that ten documents or more share out of every text; n_chars follows the new text. No document goes."""
-    out = lines.dedup_lines(_whole(docs))
+    """Takes lines that ten documents or more share out of every text; rows of one doc_id are one document; n_chars follows the new text. No document goes."""
+    out = lines.dedup_lines(_whole(docs), id_column="row.doc_id")
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates (five words, 0.8) the document with the smallest doc_id stays. Documents without shingles and rows without doc_id, which cannot be told apart, stay."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """Of each component of near-duplicates (five words, 0.8) the document with the smallest doc_id stays, once where rows repeat
+    its text. Of an id with several texts all stay if one does. Documents without shingles and rows without doc_id, which
+    cannot be told apart, stay."""
+    found = cut(minhash.near_duplicates(docs).where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).select("doc_id", "component_id", "kept"))
+    gone = found.groupBy(F.col("doc_id").alias("__gone")).agg(F.max("kept").alias("any")).where(~F.col("any")).select("__gone")
+    stay = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    again = cut(found.where("kept").groupBy(F.col("doc_id").alias("__again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__again"))
+    if again.isEmpty():
+        return stay
+    twice = stay.join(again, stay["doc_id"] == F.col("__again"), "left_semi")
+    first = F.row_number().over(W.partitionBy("doc_id", "text").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    one = twice.withColumn("__first", first).where("__first = 1").drop("__first")
+    return stay.join(again, stay["doc_id"] == F.col("__again"), "left_anti").unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
