@@ -584,6 +584,15 @@ def test_pipeline_stages(spark, tmp_path, rows):
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "taken").collect())) == sorted(map(str, df.select("doc_id", "taken").collect()))
 
 
+def test_pipeline_keeps_one_row_of_a_document(spark):
+    import corpus_pipeline
+
+    one, two, three = (prose(random.Random(i), 60, 5000) for i in range(3))
+    rows = [(1, one, "en", "s", 1)] * 3 + [(2, one, "en", "s", 1), (2, two, "en", "s", 1), (4, three, "en", "s", 1), (5, three + " x", "en", "s", 1), (6, "", "en", "s", 1), (6, "", "en", "s", 1), (None, one, "en", "s", 1)]
+    out = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit(1)), "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted([(1, one), (2, one), (2, two), (4, three), (6, ""), (6, ""), (None, one)], key=str)
+
+
 def test_digest_columns(spark):
     from fairspark.llm.queries import ORACLE_SQL, QUERIES
 
