@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 from fractions import Fraction as Q
 
@@ -236,3 +237,69 @@ def test_witness_documents():
     w = E.witness([(0.5, -0.0)])
     assert w["shape"] == [1, 2] and w["values"] == [["0x1.0000000000000p-1", "-0x0.0p+0"]] and len(w["bytes"]) == 32
     assert E.canonical_json({"b": np.int64(1), "a": np.array([1.5])}) == '{"a":[1.5],"b":1}'
+
+
+def test_fetch_goes_on_where_it_broke_off(tmp_path):
+    import hashlib
+
+    from fairspark.sources import archives
+
+    data = bytes(range(256)) * 40
+    digest, target = hashlib.sha256(data).hexdigest(), tmp_path / "deep" / "file.bin"
+    asked = []
+
+    def read_from(upto):
+        def run(at):
+            asked.append(at)
+            return iter([data[at : at + 100], data[at + 100 : upto]])
+
+        return run
+
+    with pytest.raises(ConnectionError):
+        archives.fetch(read_from(3000), target, len(data), digest)
+    assert not target.exists() and archives.fetch(read_from(len(data)), target, len(data), digest) == len(data) - 3000
+    assert asked == [0, 3000] and target.read_bytes() == data and archives.fetch(read_from(0), target, len(data), digest) == 0
+    with pytest.raises(ValueError):
+        archives.fetch(read_from(len(data)), target, len(data), "0" * 64)
+    with pytest.raises(ValueError):
+        archives.fetch(lambda at: iter([b"x" * 10]), tmp_path / "other", 10, digest)
+    assert not (tmp_path / "other.part").exists() and not (tmp_path / "other").exists()
+
+
+def test_extract_checks_and_stays_inside(tmp_path):
+    import zipfile
+
+    from fairspark.sources import archives
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("in/one.txt", "one")
+        z.writestr("two.txt", "two" * 1000)
+    first = archives.extract(tmp_path / "a.zip", tmp_path / "out")
+    assert [x[3] for x in first] == [True, True] and (tmp_path / "out/in/one.txt").read_text() == "one"
+    (tmp_path / "out/two.txt").write_text("broken")
+    assert [x[3] for x in archives.extract(tmp_path / "a.zip", tmp_path / "out")] == [False, True]
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("../three.txt", "three")
+    with pytest.raises(ValueError):
+        archives.extract(tmp_path / "b.zip", tmp_path / "out")
+    data = bytearray((tmp_path / "a.zip").read_bytes())
+    data[data.index(b"twotwo")] ^= 1
+    (tmp_path / "c.zip").write_bytes(data)
+    with pytest.raises(Exception, match="(?i)crc|checksum"):
+        archives.extract(tmp_path / "c.zip", tmp_path / "new")
+
+
+def test_no_temporary_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from fairspark.sources import workplace
+
+    empty = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True))
+    context = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: empty), master="spark://host:7077")
+    with pytest.raises(ValueError):
+        workplace.shared_folder(SimpleNamespace(sparkContext=context, conf={}))
+    path = workplace.work_folder(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    workplace.discard(path)
+    assert not os.path.exists(path.removeprefix("file:"))
