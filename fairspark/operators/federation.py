@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .points import small
 
 
 def client_offsets(points: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def _split(spark: SparkSession, points: DataFrame, flat: np.ndarray) -> DataFram
 
 
 def _keeps_groups(points: DataFrame, removed: DataFrame, groups: int = 2) -> bool:
-    left = points.join(F.broadcast(removed), ["client", "local_row"], "left_anti")  # as many rows as the request has
+    left = points.join(small(removed), ["client", "local_row"], "left_anti")
     return left.select("group_id").distinct().count() == groups
 
 
@@ -144,7 +145,7 @@ def subsample(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
         out = group.take(pa.array(at))
         return pa.table([out["position"].cast(pa.int64()), pa.array(np.arange(quota), pa.int64()), out["local_row"], out["group_id"], out["features"]], names=["client", "local_row", "source_row", "group_id", "features"])
 
-    return rows.join(F.broadcast(plan), "client").groupBy("client").applyInArrow(run, "client long, local_row long, source_row long, group_id int, features array<double>")
+    return rows.join(small(plan), "client").groupBy("client").applyInArrow(run, "client long, local_row long, source_row long, group_id int, features array<double>")
 
 
 def prepare_federation(rows: DataFrame, n: int, clients: int, seed: int) -> DataFrame:
