@@ -27,6 +27,7 @@ import zstandard
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import WordHash, _ODD, mixed, raw, release, table, words, written
 
@@ -401,7 +402,7 @@ def katz_scores(docs: DataFrame, chunk_chars: int = 3_000_000, bucket_chars: int
     unseen = found.where(F.col("kind") == _UNSEEN).select("chunk", "payload").mapInArrow(_unseen, "h long, uid long, times long")
     owed = unseen.join(backoff, "h").groupBy("uid").agg(F.sum(F.col("times") * F.col("weight")).alias("owed"))
     kind = docs.schema["doc_id"].dataType
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
+    id_type = to_arrow_type(kind)
     rows = found.where(F.col("kind").isin(_PARTIAL, _TABLE)).select("kind", "chunk", "payload").groupBy("chunk")
     rows = rows.applyInArrow(_assembled(star, slots, starts, id_type), f"uid long, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, part double")
     return rows.join(owed, "uid", "left").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", (F.col("part") + F.coalesce("owed", F.lit(0.0))).alias("score"))

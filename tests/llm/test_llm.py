@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fairspark.llm import components, cotrain, decontam, host_rules, katz, lines, minhash, mixing, secrets, toxicity, url_filter
+from fairspark.llm import components, cotrain, decontam, host_rules, katz, katz_tables, lines, minhash, mixing, secrets, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -464,6 +464,74 @@ def test_katz_without_training(spark):
     assert all((r["score"], r["base_score"], r["n_known"], r["train_tokens"]) == (0, 0, 0, 0) for r in got)
 
 
+def test_katz_ids_of_any_type(spark):
+    df = spark.createDataFrame([(i, f"a b {i % 3}") for i in range(20)] + [(None, "a")], "doc_id int, text string")
+    want = sorted((str(r["doc_id"]), r["held_out"], r["score"]) for r in katz.katz_scores(df).collect())
+    for kind in ("smallint", "decimal(9,0)", "string"):
+        got = katz.katz_scores(df.select(F.col("doc_id").cast(kind).alias("doc_id"), "text"))
+        assert got.schema["doc_id"].dataType.simpleString() == kind
+        assert sorted((str(r["doc_id"]), r["held_out"], r["score"]) for r in got.collect()) == want
+    dates = df.select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("doc_id")).alias("doc_id"), "text")
+    assert katz.katz_scores(dates).where("held_out = (pmod(crc32(binary(coalesce(cast(doc_id as string), ''))), 7) = 2)").count() == 21
+
+
+def test_katz_tables(spark, docs, none, rows, tmp_path):
+    """Trigrams by hand; the tables read back; keys by broadcast or by exchange; bigrams are those of katz_scores."""
+    seqs = [["\n", *WORD.findall(low(r[1])), None] for r in rows]
+    n = {k: Counter(tuple(s[i - k + 1 : i + 1]) for s in seqs for i in range(max(1, k - 1), len(s))) for k in (1, 2, 3)}
+    slots = sum(n[1].values()) + len(n[1]) + 1
+    c, spare, after, star = Counter(), Counter(), defaultdict(list), {}
+    for k in (2, 3):
+        numbers = Counter(n[k].values())
+        star[k] = dict(enumerate(katz.discounted([numbers[r] for r in range(1, 7)]), 1))
+        for g, r in n[k].items():
+            c[g[:-1]] += r
+            spare[g[:-1]] += r - star[k].get(r, r - 0.5)
+            after[g[:-1]].append(g[-1])
+
+    def p(g):
+        if len(g) == 1:
+            return (n[1][g] + 1) / slots
+        if g in n[len(g)]:
+            return star[len(g)].get(n[len(g)][g], n[len(g)][g] - 0.5) / c[g[:-1]]
+        return alpha(g[:-1]) * p(g[1:])
+
+    known = {}
+
+    def alpha(h):
+        if h in c and h not in known:
+            known[h] = spare[h] / c[h] / (1 - sum(p((*h[1:], w)) for w in after[h]))
+        return known.get(h, 1)
+
+    for h in [("\n",), ("w0",), ("w0", "w1"), ("\n", "w0"), ("unknown", "w0"), ("w0", "unknown")]:
+        assert math.isclose(sum(p((*h, *w)) for w in n[1]) + p((*h, "never seen")), 1, rel_tol=1e-9)
+    text = {r[0]: r[1] for r in rows} | {500: "w0 never seen w1", 501: "w0 never seen w1"}
+    asked = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(500, text[500]), (501, text[501])], "doc_id long, text string"))
+    for hot, chunk, part in ((10**9, 10**7, 10**9), (40, 2000, 3000)):
+        path = f"{tmp_path}/{hot}"
+        model = katz_tables.train_tables(docs, path, 3, chunk, part, hot)
+        again = katz_tables.read_tables(spark, path)
+        assert again == model and again.tokens == sum(n[1].values()) and again.vocabulary == len(n[1])
+        assert [again.ngrams(spark, k).count() for k in (1, 2, 3)] == [len(n[k]) for k in (1, 2, 3)]
+        assert [again.contexts(spark, k).count() for k in (2, 3)] == [len({g[:-1] for g in n[k]}) for k in (2, 3)]
+        got = katz_tables.score_texts(asked, again, chunk).collect()
+        assert sorted(r["doc_id"] for r in got) == sorted([*(r[0] for r in rows), 500, 501])
+        for r in got:
+            s = ["\n", *WORD.findall(low(text[r["doc_id"]])), None]
+            assert r["n_tokens"] == len(s) - 1
+            assert math.isclose(r["score"], sum(math.log10(p(tuple(s[max(0, i - 2) : i + 1]))) for i in range(1, len(s))), rel_tol=1e-9)
+    train = docs.where("pmod(crc32(binary(cast(doc_id as string))), 7) != 2")
+    two = katz_tables.score_texts(docs, katz_tables.train_tables(train, f"{tmp_path}/two", order=2))
+    want = katz.katz_scores(docs).collect()
+    assert np.allclose([x for _, x in sorted((r["doc_id"], r["score"]) for r in two.collect())], [x for _, x in sorted((r["doc_id"], r["score"]) for r in want)], rtol=1e-9)
+    empty = katz_tables.train_tables(none, f"{tmp_path}/none", order=3)
+    assert katz_tables.score_texts(none, empty).count() == 0
+    assert {r["score"] for r in katz_tables.score_texts(docs, empty).collect()} == {0.0}
+    nulls = spark.createDataFrame([(None, None), (None, ""), (None, None), (1, "a b")], "doc_id long, text string")
+    got = katz_tables.score_texts(nulls, katz_tables.train_tables(nulls, f"{tmp_path}/nulls", order=1)).collect()
+    assert sorted(r["n_tokens"] for r in got) == [1, 1, 1, 3] and len({round(r["score"], 12) for r in got}) == 2
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(9)
     bad = ["vileword", "nastyish", "grossest", "nastyone"]
