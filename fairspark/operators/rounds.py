@@ -103,6 +103,19 @@ def assigned(points: DataFrame, centers, grid: Grid) -> DataFrame:
     return points.select("client", "local_row", "group_id", "x").mapInArrow(run, CACHE)
 
 
+def nearest_labels(points: DataFrame, centers, scale: float) -> DataFrame:
+    """(group_id, label) of encoded points: the nearest center alone."""
+    c = np.asarray(centers, np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                label = E.nearest(matrix(column(b, "x"), b.num_rows) / scale, c)[0]
+                yield pa.RecordBatch.from_arrays([column(b, "group_id"), pa.array(label, pa.int32())], names=["group_id", "label"])
+
+    return points.select("group_id", "x").mapInArrow(run, "group_id int, label int")
+
+
 def cached_statistics(cache: DataFrame, groups: int, k: int, d: int) -> Stats:
     """Statistics by the labels of a cache."""
 

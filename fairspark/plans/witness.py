@@ -6,12 +6,15 @@ from collections.abc import Iterator
 from fractions import Fraction
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exact as E
 from ..model import Settings
+from ..operators import points as P
 from ..operators import rounds as R
 from ..operators import seeding as S
 from ..operators import update as U
@@ -128,6 +131,27 @@ def witness_summary(runs: DataFrame) -> DataFrame:
     return out.withColumn("ratio_total", F.col("mean_total") / total).withColumn("ratio_phi", F.col("mean_phi") / phi)
 
 
+def _own_sums(scale: float):
+    """Count, squared norms and coordinates of encoded points by the nearest representative of their own slice, for each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = R.matrix(R.column(b, "x"), b.num_rows)
+                keys, first, of = np.unique(np.stack([R.column(b, "client").to_numpy(), R.column(b, "group_id").to_numpy()], axis=1), axis=0, return_index=True, return_inverse=True)
+                label, of = np.zeros(len(x), np.int64), of.ravel()
+                for i, at in enumerate(first.tolist()):
+                    own = of == i
+                    label[own] = E.nearest(x[own] / scale, np.array(R.column(b, "reps")[at].as_py()))[0]
+                total = R.Summed(len(keys), int(label.max()) + 1)
+                total.add(x, of, label)
+                part = total.batch()
+                key = keys[part["group_id"].to_numpy()]
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0], pa.int64()), pa.array(key[:, 1], pa.int32()), part["cluster"], part["v"]], names=["client", "group_id", "slot", "v"])
+
+    return run
+
+
 def quantization(points: DataFrame, slices: DataFrame, sizes, settings: Settings) -> dict:
     """Exact effects of the anchors' grid: residuals q - z (mean, most, weighted by server weights Q, and the envelope d gamma**2 / 2),
     local costs of representatives and of anchors, ids that share a location and the weight on such locations."""
@@ -140,23 +164,20 @@ def quantization(points: DataFrame, slices: DataFrame, sizes, settings: Settings
     d, weighted = len(rows[0]["anchor"]), sum((w * q for w, q in zip(weights, residual, strict=True)), Fraction(0))
     envelope = Fraction(d, 2) * Fraction(settings.gamma) ** 2
     local = {"rep": Fraction(0), "anchor": Fraction(0)}
-    scale = float(settings.grid.scale)
-    import numpy as np
-    import pyarrow as pa
-
-    def cost(group: pa.Table) -> pa.Table:
-        b = group.combine_chunks()
-        x = np.array(b["x"].to_pylist(), np.float64) / scale
-        reps, anchors = np.array(b["reps"][0].as_py()), np.array(b["anchors"][0].as_py())
-        label = E.nearest(x, reps)[0]
-        sums = [sum((E.squared(v, c[j]) for v, j in zip(x.tolist(), label.tolist(), strict=True)), Fraction(0)) for c in (reps.tolist(), anchors.tolist())]
-        return pa.table([pa.array([b["group_id"][0].as_py()], pa.int32()), *[pa.array([f"{s.numerator}/{s.denominator}"]) for s in sums]], names=["group_id", "rep", "anchor"])
-
-    held = slices.groupBy("client", "group_id").agg(F.sort_array(F.collect_list(F.struct("slot", "rep", "anchor"))).alias("s")).select("client", "group_id", F.col("s.rep").alias("reps"), F.col("s.anchor").alias("anchors"))
-    costs = points.join(held, ["client", "group_id"]).groupBy("client", "group_id").applyInArrow(cost, "group_id int, rep string, anchor string")
-    for r in costs.collect():
-        for k in local:
-            local[k] += Fraction(r[k]) / sizes[r["group_id"]]
+    scale = settings.grid.scale
+    held = slices.groupBy("client", "group_id").agg(F.sort_array(F.collect_list(F.struct("slot", "rep"))).alias("s")).select("client", "group_id", F.col("s.rep").alias("reps"))
+    parts = points.select("client", "group_id", "x").join(P.small(held, 10_000), ["client", "group_id"]).mapInArrow(_own_sums(float(scale)), "client long, group_id int, slot int, v array<decimal(38,0)>")
+    sums: dict[tuple, dict[int, int]] = {}
+    for c, g, j, i, v in parts.select("client", "group_id", "slot", F.posexplode("v").alias("i", "v")).groupBy("client", "group_id", "slot", "i").agg(F.sum("v").alias("v")).collect():
+        sums.setdefault((c, g, j), {})[i] = int(v)
+    for r in rows:
+        own = sums.get((r["client"], r["group_id"], r["slot"]))
+        if own:
+            for k in local:
+                at = [Fraction(v) for v in r[k]]
+                cross = sum((Fraction(own[q + 2], scale) * v for q, v in enumerate(at)), Fraction(0))
+                cost = Fraction(own[1], scale * scale) - 2 * cross + own[0] * sum((v * v for v in at), Fraction(0))
+                local[k] += cost / sizes[r["group_id"]]
     shared = [i for own in places.values() if len(own) > 1 for i in own]
     return {"mean_residual": sum(residual, Fraction(0)) / len(rows), "max_residual": max(residual), "weighted": weighted, "envelope": envelope, "within_envelope": weighted <= envelope, "local_cost": local["rep"], "anchor_cost": local["anchor"], "ids": len(rows), "places": len(places), "duplicate_ids": len(rows) - len(places), "representative_places": len({tuple(r["rep"]) for r in rows}), "shared_weight": sum((weights[i] for i in shared), Fraction(0))}
 

@@ -154,6 +154,11 @@ def test_large_slices_draw_the_same(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 4)
     a, b = (sorted(map(str, S.local_slices(encoded, 8, settings, n).collect())) for n in (10**6, 9))
     assert a == b
+    for reps in (3, 6):
+        whole, drawn = (sorted(map(str, S.merged_slices(encoded, 8, settings, reps, n).collect())) for n in (10**6, 11))
+        assert whole == drawn
+    monkeypatch.setattr(S, "SLICE_NUMBERS", 30)
+    assert S._large(encoded, ["client", "group_id"], 3, 10**6) and sorted(map(str, S.local_slices(encoded, 8, settings).collect())) == a
 
 
 def test_layout_does_not_matter(spark):

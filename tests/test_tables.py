@@ -206,12 +206,15 @@ def test_quantization(spark):
     got = Wit.quantization(points, slices, P.group_sizes(points, 2), settings)
     own = slices.collect()
     assert got["max_residual"] == max(oracle.dist(r["rep"], r["anchor"]) for r in own) and got["ids"] == len(own) and got["within_envelope"]
-    sizes, want = P.group_sizes(points, 2), Q(0)
+    sizes, want, snapped = P.group_sizes(points, 2), Q(0), Q(0)
     for c in range(3):
         for g in range(2):
-            reps = [r["rep"] for r in sorted(own, key=lambda r: r["slot"]) if r["client"] == c and r["group_id"] == g]
-            want += sum(oracle.dist(x, reps[oracle.closest(x, reps)]) for cc, _, gg, x in rows if (cc, gg) == (c, g)) / sizes[g]
-    assert got["local_cost"] == want
+            mine = [r for r in sorted(own, key=lambda r: r["slot"]) if r["client"] == c and r["group_id"] == g]
+            reps = [r["rep"] for r in mine]
+            labels = [(x, oracle.closest(x, reps)) for cc, _, gg, x in rows if (cc, gg) == (c, g)]
+            want += sum(oracle.dist(x, reps[j]) for x, j in labels) / sizes[g]
+            snapped += sum(oracle.dist(x, mine[j]["anchor"]) for x, j in labels) / sizes[g]
+    assert got["local_cost"] == want and got["anchor_cost"] == snapped
 
 
 def test_stream_of_withdrawals(spark, tmp_path):
