@@ -135,17 +135,31 @@ def client_order(clients: list[str], seed: int, role: int) -> list[str]:
     return [keys[i] for i in np.random.default_rng(np.random.SeedSequence([seed, role])).permutation(len(keys))]
 
 
+def ranked(rows: DataFrame, block_rows: int = 65_536) -> DataFrame:
+    """rows with rank, their place from 0 in their client by local_row; blocks of local_row are numbered apart, so no task sorts a whole client."""
+    cut = rows.withColumn("__block", F.floor(F.col("local_row") / block_rows))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("client").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = cut.groupBy("client", "__block").agg(F.count(F.lit(1)).alias("n")).select("client", "__block", before.alias("__before"))
+    place = F.col("__before") + F.row_number().over(W.partitionBy("client", "__block").orderBy("local_row")) - 1
+    return cut.join(starts, ["client", "__block"]).withColumn("rank", place).drop("__block", "__before")
+
+
 def subsample(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """Of each planned client (client, position, quota), quota rows by the client's own generator, in their order, numbered anew."""
+    """Of each planned client (client, position, quota), quota rows by the client's own generator, in their order, numbered anew.
+
+    Generators draw ranks from counts alone, one task a client; rows are then picked by a join on client and rank.
+    """
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("local_row").combine_chunks()
-        n, quota, position = group.num_rows, group["quota"][0].as_py(), group["position"][0].as_py()
+    def draw(group: pa.Table) -> pa.Table:
+        client, position, quota, n = (group[c][0].as_py() for c in ("client", "position", "quota", "n"))
         at = np.sort(np.random.default_rng(np.random.SeedSequence([seed, position])).choice(n, size=quota, replace=False))
-        out = group.take(pa.array(at))
-        return pa.table([out["position"].cast(pa.int64()), pa.array(np.arange(quota), pa.int64()), out["local_row"], out["group_id"], out["features"]], names=["client", "local_row", "source_row", "group_id", "features"])
+        full = lambda v: pa.array(np.full(quota, v, np.int64))
+        return pa.table([full(client), full(position), pa.array(at.astype(np.int64)), pa.array(np.arange(quota))], names=["client", "position", "rank", "row"])
 
-    return rows.join(small(plan), "client").groupBy("client").applyInArrow(run, "client long, local_row long, source_row long, group_id int, features array<double>")
+    own = rows.join(small(plan.select("client")), "client", "left_semi")
+    counts = own.groupBy("client").agg(F.count(F.lit(1)).alias("n"))
+    drawn = plan.join(counts, "client").select("client", "position", "quota", "n").groupBy("client").applyInArrow(draw, "client long, position long, rank long, row long")
+    return ranked(own).join(drawn, ["client", "rank"]).select(F.col("position").alias("client"), F.col("row").alias("local_row"), F.col("local_row").alias("source_row"), "group_id", "features")
 
 
 def prepare_federation(rows: DataFrame, n: int, clients: int, seed: int) -> DataFrame:

@@ -162,6 +162,13 @@ def test_locations_and_samples(spark):
     assert int(col[0]) == Fed.derived_seed(5, "uniform-deletion", 1) and col[1] == 3
     fed = Fed.prepare_federation(points, 9, 3, 1)
     assert fed.count() == 9 and fed.select("client").distinct().count() == 3
+    gaps = [(c, 3 * i + c, i % 2, [float(i)]) for c in (4, 9) for i in range(11)]
+    sparse = spark.createDataFrame(gaps, "client long, local_row long, group_id int, features array<double>")
+    assert sorted((r["client"], r["rank"], r["local_row"]) for r in Fed.ranked(sparse, 7).collect()) == [(c, i, 3 * i + c) for c in (4, 9) for i in range(11)]
+    plan = spark.createDataFrame([(9, 0, 4), (4, 1, 11)], "client long, position int, quota int")
+    got = sorted((r["client"], r["local_row"], r["source_row"]) for r in Fed.subsample(sparse, plan, 6).collect())
+    picked = [(p, np.sort(np.random.default_rng(np.random.SeedSequence([6, p])).choice(11, size=q, replace=False)), c) for c, p, q in ((9, 0, 4), (4, 1, 11))]
+    assert got == [(p, j, 3 * int(i) + c) for p, at, c in picked for j, i in enumerate(at)]
     with pytest.raises(Exception):
         Fed.prepare_federation(points, 99, 3, 1)
     with pytest.raises(ValueError):
