@@ -56,11 +56,13 @@ def ordered_digest(value: Column, *order: Column) -> Column:
 
 
 def natural_key(state: Column, puma: Column) -> Column:
-    return F.format_string("%d:%05d", state.cast("int"), puma.cast("int"))
+    """state:area, the area's code filled up to five digits and never cut; null where either is."""
+    return F.when(state.isNotNull() & puma.isNotNull(), F.format_string("%d:%05d", state.cast("int"), puma.cast("int")))
 
 
 def record_key(year: Column, state: Column, serial: Column, order: Column) -> Column:
-    return F.concat_ws(":", year.cast("string"), F.lpad(state.cast("string"), 2, "0"), serial.cast("string"), order.cast("string"))
+    """year:state:serial:order; null where any of them is."""
+    return F.concat(year.cast("string"), F.lit(":"), F.lpad(state.cast("string"), 2, "0"), F.lit(":"), serial.cast("string"), F.lit(":"), order.cast("string"))
 
 
 def client_number(name: Column) -> Column:
